@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.encoding import TOKENIZERS, encode_corpus
+from sightline.llm.names import resolve_names
 from sightline.llm.packing import pack
 from sightline.llm.places import map_countries, map_places
 from sightline.llm.residue import find_residue
 from sightline.session import cut_table, table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed company that each listing's variant spelling means."""
+    t = lambda n: table(spark, sf_dir, n)
+    return resolve_names(t("int_job_listings"), "source_record_sk", "company_name", t("seed_company_aliases"), "description_text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free places of nash and free countries of stg_ashby_jobs on their reference lists."""
     t = lambda n: table(spark, sf_dir, n)
@@ -39,5 +46,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id")
 
 
-QUERIES = {"p6_found": p6_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
