@@ -244,3 +244,10 @@ def to_common_unit(df: DataFrame, key: list[str], text: str, root: str, period:
     joined = stated.join(bounded_broadcast(rates.select("currency", F.col("sar_per_unit").cast("decimal(12,6)").alias("_rate"))), "currency").join(bounded_broadcast(factors.select("salary_period", F.col("periods_per_year").cast("decimal(6,0)").alias("_per"))), "salary_period")
     half_up = lambda c: F.expr(f"(({c} * _rate * _per) + 6) div 12")
     return joined.select(*key, half_up("_a").cast("long").alias("min_common"), half_up("_b").cast("long").alias("max_common")).distinct()
+
+
+def states_amount(text: Column) -> Column:
+    """Whether a text holds a number that is an amount: one outside the phrases of :data:`ASIDES`."""
+    number = r"\d+(?:[.,]\d+)?"
+    asides = "|".join(sorted((re.escape(a).replace(re.escape("#"), number).replace(r"\ ", r"\s*") for a in ASIDES), key=len, reverse=True))
+    return F.regexp_replace(F.lower(plain_spaces(ascii_digits(text))), asides, " ").rlike(r"\d")
