@@ -10,9 +10,16 @@ from sightline.llm.names import resolve_names
 from sightline.llm.packing import pack
 from sightline.llm.places import map_countries, map_places
 from sightline.llm.residue import find_residue
+from sightline.llm.survivors import survivors
 from sightline.session import cut_table, table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving listing of each matched job, field by field."""
+    t = lambda n: table(spark, sf_dir, n)
+    return survivors(t("int_job_listings"), t("int_jobs_matched"), t("seed_sources"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed company that each listing's variant spelling means."""
     t = lambda n: table(spark, sf_dir, n)
@@ -46,5 +53,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
