@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.encoding import TOKENIZERS, encode_corpus
+from sightline.llm.linkage import link
 from sightline.llm.names import resolve_names
 from sightline.llm.packing import pack
 from sightline.llm.places import map_countries, map_places
@@ -14,6 +15,18 @@ from sightline.llm.survivors import survivors
 from sightline.session import cut_table, table
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of unmatched listings on different sources that are one opening, with confidence."""
+    t = lambda n: table(spark, sf_dir, n)
+    open_ones = t("int_job_listings").join(t("int_jobs_matched").select("source_record_sk").distinct(), "source_record_sk", "left_anti")
+    return link(open_ones, t("seed_city_mapping"), t("seed_company_aliases"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of :func:`p1_links` without their confidence."""
+    return p1_links(spark, sf_dir).select("listing_a", "listing_b")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving listing of each matched job, field by field."""
     t = lambda n: table(spark, sf_dir, n)
@@ -53,5 +66,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
