@@ -12,21 +12,16 @@ def qualify_first(df: DataFrame, by: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def top_n_with_ties(df: DataFrame, n: int, order: Column, by: list[str] | None = None) -> DataFrame:
-    """Rows whose rank is at most n; ties at the border stay.
+def top_n_with_ties(df: DataFrame, n: int, value: str, by: list[str] | None = None) -> DataFrame:
+    """Rows whose value ranks among the n greatest; ties at the border stay.
 
-    Without ``by`` the order must be a column ``_o``, lowest first: the border value is found
-    by a distributed top-k and rows are filtered by it, so that no window over all rows runs
-    in one task.
+    Without ``by`` the border value is found by a distributed top-k and rows are filtered by
+    it, so that no window over all rows runs in one task.
     """
     if by:
-        return df.withColumn("_r", F.rank().over(W.partitionBy(*by).orderBy(order))).where("_r <= %d" % n).drop("_r")
-    # The n-th best row is the border; rows before or beside it in the order stay.
-    ranked = df.orderBy(order).limit(n).withColumn("_r", F.row_number().over(W.orderBy(order)))
-    border = ranked.agg(F.max("_r").alias("_n"), F.max_by("_o", "_r").alias("_border")) if "_o" in df.columns else None
-    if border is None:
-        raise ValueError("top_n_with_ties over all rows needs its order in a column named _o, best first")
-    return df.join(F.broadcast(border), F.col("_o") <= F.col("_border")).drop("_n", "_border")
+        return df.withColumn("_r", F.rank().over(W.partitionBy(*by).orderBy(F.desc(value)))).where(F.col("_r") <= n).drop("_r")
+    border = df.orderBy(F.desc(value)).limit(n).agg(F.min(value)).first()[0]
+    return df.where(F.col(value) >= F.lit(border))
 
 
 def latest_snapshot(df: DataFrame, key: list[str], order: list[Column], seen: str) -> DataFrame:

@@ -28,9 +28,10 @@ def suppressed(value: Column, base: Column, least: int) -> Column:
 def concentration(df: DataFrame, member: str, value: str, n: int) -> DataFrame:
     """Share of the n largest members in the whole; ties at the border are kept."""
     per = df.groupBy(member).agg(F.sum(value).alias("v"))
-    top = per.orderBy(F.desc("v")).limit(n).agg(F.min("v").alias("_border"))
-    joined = per.join(F.broadcast(top))
-    return joined.agg(F.sum(F.when(F.col("v") >= F.col("_border"), F.col("v"))).alias("top_value"), F.sum("v").alias("all_value")).withColumn("top_share", share(F.col("top_value"), F.col("all_value")))
+    # One number reaches the driver, so that no join is needed to compare with it.
+    border = per.orderBy(F.desc("v")).limit(n).agg(F.min("v")).first()[0]
+    sums = per.agg(F.sum(F.when(F.col("v") >= F.lit(border), F.col("v"))).alias("top_value"), F.sum("v").alias("all_value"))
+    return sums.withColumn("top_share", share(F.col("top_value"), F.col("all_value")))
 
 
 def unpivot_sources(df: DataFrame, columns: dict[str, str], by: list[str], name: str = "source", value: str = "value") -> DataFrame:

@@ -11,7 +11,7 @@ from sightline.functions.keys import surrogate_key
 
 def with_unknown(dim: DataFrame, values: dict[str, object]) -> DataFrame:
     """A dimension plus its Unknown member; columns without a value are null."""
-    row = dim.sparkSession.createDataFrame([tuple(values.get(f.name) for f in dim.schema)], dim.schema)
+    row = dim.sparkSession.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in dim.schema])
     return dim.unionByName(row)
 
 
@@ -31,7 +31,7 @@ def date_dimension(spark: SparkSession, first: str, last: str, most: int = 10_00
     days = spark.sql(f"select explode(sequence(date'{first}', least(date'{last}', date_add(date'{first}', {most - 1})), interval 1 day)) as full_date")
     d = F.col("full_date")
     dim = days.select(date_key(d).alias("date_sk"), "full_date", F.date_format(d, "EEEE").alias("day_of_week"), week_start(d).alias("week_start_date"), F.month(d).alias("month"), F.quarter(d).alias("quarter"), F.year(d).alias("year"), (F.weekday(d) + 1).isin(5, 6).alias("is_weekend"))
-    return with_unknown(dim, {"date_sk": -1})
+    return with_unknown(dim, {"date_sk": -1, "is_weekend": False})
 
 
 def fact(df: DataFrame, keys: dict[str, list[str]], dates: dict[str, str], measures: list[str], unknown: dict[str, Column]) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from sightline.functions.dates import board_from_path, ingest_date_from_path
 
 
-def load_new_files(spark: SparkSession, folder: str, target: str, checkpoint: str, max_files: int = 10_000) -> int:
+def load_new_files(spark: SparkSession, folder: str, target: str, checkpoint: str, max_files: int = 10_000, pattern: str = "*.json") -> int:
     """Appends landed files that no earlier call has loaded to a Parquet table; returns their number.
 
     ``max_files`` bounds a micro-batch, so a backlog of any size is loaded in batches.
     """
-    stream = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(folder)
+    stream = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(folder)
     path = F.col("_metadata.file_path")
     rows = stream.select(F.col("value").alias("raw_text"), path.alias("file_name"), F.current_timestamp().alias("loaded_at"), board_from_path(path).alias("board"), ingest_date_from_path(path).alias("ingest_date"))
     query = rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
