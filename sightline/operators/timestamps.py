@@ -13,6 +13,7 @@ signatures) is shuffled for the fit, and the fitted weights are one row per sour
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame
@@ -114,6 +115,13 @@ def with_readings(df: DataFrame, value: str, zone: str) -> DataFrame:
     return df.withColumn("_r", out).drop("_v", "_g", "_e", "_d", "_t", "_h", "_n", "_s", "_z", "_clock", "_bracket", "_min", "_region", "_stated", "_ok", "_m0", "_m1", "_days", "_x")
 
 
+def _lateness(seen: str | None) -> Callable[[Column], Column]:
+    """Likelihood of a moment given when it was seen: later ones are a hundred times less likely."""
+    if seen is None:
+        return lambda _: F.lit(1.0)
+    return lambda x: F.when(F.col(seen).isNull() | (x <= F.unix_micros(F.col(seen)) + 86400000000), 1.0).otherwise(0.01)
+
+
 def fit_format_mixture(df: DataFrame, source: list[str], by: str, declared: str, seen: str | None = None, prior: float = 1000.0, rounds: int = 20) -> DataFrame:
     """Weights of the date readings per source by expectation-maximisation.
 
@@ -124,7 +132,7 @@ def fit_format_mixture(df: DataFrame, source: list[str], by: str, declared: str,
     source with ``weights`` (array in the order of READINGS). Sources of no dated values
     give the prior alone.
     """
-    late = (lambda x: F.lit(1.0)) if seen is None else (lambda x: F.when(x <= F.unix_micros(F.col(seen)) + 86400000000, 1.0).otherwise(0.01))
+    late = _lateness(seen)
     likelihood = F.transform(F.col(by), lambda x: F.when(x.isNull(), 0.0).otherwise(late(x)))
     counts = df.select(*source, F.col(declared).alias("_o"), likelihood.alias("_l")).groupBy(*source, "_l").agg(F.max("_o").alias("_o"), F.count(F.lit(1)).cast("double").alias("_n"))
     per = counts.groupBy(*source).agg(F.max("_o").alias("_o"), F.collect_list(F.struct("_l", "_n")).alias("_s"))
@@ -151,26 +159,26 @@ def to_utc(df: DataFrame, value: str, source: list[str], zone: str, declared: st
     Null, blank, invalid and relative wordings give nulls. Columns of ``df`` are kept; the
     added names win over columns of the same name. Rows keep their number.
     """
+    kept = [c for c in df.columns if c not in ("utc_us", "reading", "posterior", "is_ambiguous")]
+    names = [f"s{i}" for i in range(len(source))]
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(value).cast("string").alias("written"), F.col(zone).alias("zone"), F.col(declared).alias("declared"), (F.col(seen) if seen else F.lit(None)).cast("timestamp").alias("seen"), *[F.col(c).alias(n) for c, n in zip(source, names)])
     # Read twice, and a barrier: a filter pushed down would repeat the parse in every predicate.
-    df = cut_table(with_readings(df.drop("utc_us", "reading", "posterior", "is_ambiguous"), value, zone), "readings")
-    weights = fit_format_mixture(df.where(F.col("_r.fixed").isNull() & F.exists(F.col("_r.by"), lambda x: x.isNotNull())).withColumn("_by", F.col("_r.by")), source, "_by", declared, seen)
-    weights = weights.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(source)], F.col("weights").alias("_w"))
-    out = df
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(source)]
-    out = out.join(weights, on, "left")
-    late = (lambda x: F.lit(1.0)) if seen is None else (lambda x: F.when(x <= F.unix_micros(F.col(seen)) + 86400000000, 1.0).otherwise(0.01))
-    mass = F.zip_with(F.col("_r.by"), F.col("_w"), lambda x, w: F.when(x.isNull(), 0.0).otherwise(w * late(x)))
-    out = out.withColumn("_m", mass).withColumn("_t", F.aggregate(F.col("_m"), F.lit(0.0), lambda a, x: a + x))
-    best = F.array_max(F.col("_m"))
-    pick = F.array_position(F.col("_m"), best).cast("int")
-    chosen = F.get(F.col("_r.by"), pick - 1)
+    read = cut_table(with_readings(base, "written", "zone"), "readings")
+    dated = read.where(F.col("_r.fixed").isNull() & F.exists(F.col("_r.by"), lambda x: x.isNotNull())).withColumn("by", F.col("_r.by"))
+    weights = fit_format_mixture(dated, names, "by", "declared", "seen" if seen else None).select(*[F.col(n).alias(f"w_{n}") for n in names], "weights")
+    out = read.join(weights, [F.col(n).eqNullSafe(F.col(f"w_{n}")) for n in names], "left")
+    late = _lateness("seen" if seen else None)
+    mass = F.zip_with(F.col("_r.by"), F.col("weights"), lambda x, w: F.when(x.isNull(), 0.0).otherwise(w * late(x)))
+    out = out.withColumn("mass", mass).withColumn("total", F.aggregate(F.col("mass"), F.lit(0.0), lambda a, x: a + x))
+    best = F.array_max(F.col("mass"))
+    pick = F.array_position(F.col("mass"), best).cast("int") - 1
     agreed = F.size(F.array_distinct(F.filter(F.col("_r.by"), lambda x: x.isNotNull()))) == 1
-    dated = F.col("_r.fixed").isNull() & (F.col("_t") > 0)
-    posterior = F.when(F.col("_r.fixed").isNotNull() | (dated & agreed), 1.0).when(dated, best / F.col("_t"))
-    return (
-        out.withColumn("utc_us", F.coalesce(F.col("_r.fixed"), F.when(dated, chosen)))
-        .withColumn("reading", F.when(F.col("_r.fixed").isNotNull(), "fixed").when(dated, F.get(F.array(*map(F.lit, READINGS)), pick - 1)))
-        .withColumn("posterior", posterior)
-        .withColumn("is_ambiguous", F.coalesce(F.col("posterior") < certain, F.lit(False)))
-        .drop("_r", "_w", "_m", "_t", *[f"_k{i}" for i in range(len(source))])
+    by_mass = F.col("_r.fixed").isNull() & (F.col("total") > 0)
+    posterior = F.when(F.col("_r.fixed").isNotNull() | (by_mass & agreed), 1.0).when(by_mass, best / F.col("total"))
+    return out.select(
+        "row.*",
+        F.coalesce(F.col("_r.fixed"), F.when(by_mass, F.get(F.col("_r.by"), pick))).alias("utc_us"),
+        F.when(F.col("_r.fixed").isNotNull(), "fixed").when(by_mass, F.get(F.array(*map(F.lit, READINGS)), pick)).alias("reading"),
+        posterior.alias("posterior"),
+        F.coalesce(posterior < certain, F.lit(False)).alias("is_ambiguous"),
     )

@@ -152,7 +152,7 @@ def _segmented(skeleton: str) -> tuple[tuple[str, object], ...]:
 
 
 def number_readings(token: str, scaled: bool) -> list[Decimal]:
-    """Values a number token can mean; one dot or comma before three digits is open unless scaled."""
+    """Values a number token can mean: a dot before three digits is open unless scaled, a comma groups them."""
     plain = token.replace(" ", "").replace("'", "").replace("’", "")
     if re.fullmatch(r"\d{1,3}(?:\.\d{3})+,\d{1,2}", plain):
         return [Decimal(plain.replace(".", "").replace(",", "."))]
@@ -162,7 +162,7 @@ def number_readings(token: str, scaled: bool) -> list[Decimal]:
         return [Decimal(plain.replace(".", ""))]
     if m := re.fullmatch(r"(\d{1,3})([.,])(\d{3})", plain):
         grouped, fraction = Decimal(m[1] + m[3]), Decimal(f"{m[1]}.{m[3]}")
-        return [fraction] if scaled and m[2] == "." else [grouped, fraction]
+        return [grouped] if m[2] == "," else [fraction] if scaled else [grouped, fraction]
     return [Decimal(plain.replace(",", "."))]
 
 
@@ -234,7 +234,8 @@ def to_common_unit(df: DataFrame, key: list[str], text: str, root: str, period:
     fields = df.select(*key, F.col(text).alias("_text"), F.col(root).alias("_root"), F.col(period).alias("_period"), F.nanvl(F.col(low), F.lit(None)).cast("decimal(18,4)").alias("_low"), F.nanvl(F.col(high), F.lit(None)).cast("decimal(18,4)").alias("_high"))
     read = fields.withColumn("_q", q("_text"))
     # The unit columns hold few distinct values: each is read once.
-    units = lambda c: bounded_broadcast(fields.select(c).distinct().withColumn(f"{c}_q", quantity(F.col(c), fixed_rates, fixed_factors)))
+    # A period's column may hold the bare word, which in a text stands after "per".
+    units = lambda c: bounded_broadcast(fields.select(c).distinct().withColumn(f"{c}_q", quantity(F.concat(F.lit("per "), F.col(c)) if c == "_period" else F.col(c), fixed_rates, fixed_factors)))
     read = read.join(units("_root"), "_root", "left").join(units("_period"), "_period", "left")
     has = F.col("_q.low").isNotNull()
     a = F.when(has, F.col("_q.low").cast("decimal(18,4)")).otherwise(F.coalesce("_low", "_high"))
