@@ -80,14 +80,15 @@ class Vocabulary:
     A word is compared as written and folded; what is found is its folded form.
     """
 
-    def __init__(self, entries: set[str]) -> None:
+    def __init__(self, entries: set[str], most: int = 2) -> None:
+        self.most = most
         self.names: dict[str, set[str]] = {}
         for e in entries:
             for f in forms(e):
                 self.names.setdefault(f, set()).add(fold(e))
         self.keys: dict[str, set[str]] = {}
         for w in self.names:
-            for k in deletions(w, allowed(w)):
+            for k in deletions(w, min(allowed(w), most)):
                 self.keys.setdefault(k, set()).add(w)
 
     def near(self, word: str) -> list[tuple[str, float]]:
@@ -98,9 +99,9 @@ class Vocabulary:
                 found[n] = (0, len(form))
         if not found:
             for form in forms(word):
-                for k in deletions(form, allowed(form)):
+                for k in deletions(form, min(allowed(form), self.most)):
                     for w in self.keys.get(k, ()):
-                        most = min(allowed(form), allowed(w))
+                        most = min(allowed(form), allowed(w), self.most)
                         if (d := distance(form, w, most)) <= most:
                             for n in self.names[w]:
                                 found[n] = min(found.get(n, (99, 1)), (d, max(len(form), len(w))))
