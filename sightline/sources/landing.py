@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.dates import board_from_path, ingest_date_from_path
@@ -48,8 +49,6 @@ def missing_pages(planned: DataFrame, landed: DataFrame, key: list[str], status:
 
 def should_stop(log: DataFrame, order: str, new: str, last: int = 5, least: float = 2.0) -> DataFrame:
     """The first query of a log after which the mean yield of the last ``last`` fell below ``least``."""
-    from pyspark.sql import Window as W
-
-    mean = F.avg(new).over(W.partitionBy("source_name").orderBy(order).rowsBetween(-(last - 1), 0))
-    full = F.count(new).over(W.partitionBy("source_name").orderBy(order).rowsBetween(-(last - 1), 0)) == last
-    return log.withColumn("mean_yield", mean).where(full & (F.col("mean_yield") < least)).groupBy("source_name").agg(F.min(order).alias("stop_at"))
+    frame = W.partitionBy("source_name").orderBy(order).rowsBetween(-(last - 1), 0)
+    means = log.withColumn("mean_yield", F.avg(new).over(frame)).withColumn("queries", F.count(new).over(frame))
+    return means.where((F.col("queries") == last) & (F.col("mean_yield") < least)).groupBy("source_name").agg(F.min(order).alias("stop_at"))
