@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sightline.functions.writing import ascii_digits, plain_spaces
-from sightline.session import bounded_broadcast
+from sightline.session import bounded_broadcast, spread
 
 # Writings of the currencies (roots).
 ROOTS = {
@@ -232,7 +232,7 @@ def to_common_unit(df: DataFrame, key: list[str], text: str, root: str, period:
     fixed_factors = {r[0]: float(r[1]) for r in factors.select("salary_period", "periods_per_year").limit(1000).collect()}
     q = lambda c: quantity(F.col(c), fixed_rates, fixed_factors)
     fields = df.select(*key, F.col(text).alias("_text"), F.col(root).alias("_root"), F.col(period).alias("_period"), F.nanvl(F.col(low), F.lit(None)).cast("decimal(18,4)").alias("_low"), F.nanvl(F.col(high), F.lit(None)).cast("decimal(18,4)").alias("_high"))
-    read = fields.withColumn("_q", q("_text"))
+    read = spread(fields).withColumn("_q", q("_text"))
     # The unit columns hold few distinct values: each is read once.
     # A period's column may hold the bare word, which in a text stands after "per".
     units = lambda c: bounded_broadcast(fields.select(c).distinct().withColumn(f"{c}_q", quantity(F.concat(F.lit("per "), F.col(c)) if c == "_period" else F.col(c), fixed_rates, fixed_factors)))

@@ -63,6 +63,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).take(max_rows + 1)) <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan yields fewer partitions than that; else untouched.
+
+    For operators whose work per row outweighs moving it: a small or badly written file would
+    otherwise be one task. Large inputs have more splits than cores and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
