@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.session import cut_table
+from sightline.session import cut_table, spread
 
 # Names of fields that templates of vacancies leave unfilled.
 FIELDS = r"(?:company[ _]?name|employer[ _]?name|job[ _]?title|position[ _]?title|city|location|country|salary(?:[ _]?range)?|start[ _]?date|end[ _]?date|hiring[ _]?manager|reporting[ _]?to|contract[ _]?type|benefits|department|team|(?:first|last|full)?[ _]?name|apply[ _]?url|url|e?mail|phone|contact|ansprechpartner|date|datum|ort|stelle|firma|poste|entreprise|lieu|ville|salaire)"
@@ -54,7 +54,7 @@ EVIDENCE: dict[str, list[str]] = {
 TRIGGERS: dict[str, list[str]] = {
     "placeholder": ["{", "[", "@@", "##", "*|", "%(", "__", "<%", "$", "(insert", "(enter", "(add", "(your", "(fill", "(type", "(please", "undefined", "null", "nan -", "nan-", "nan –", "nan–", ": nan", ":nan", ": none"],
     "filler": ["lorem", "ipsum", "dolor", "blah", "asdf", "qwer", "zxcv", "hjkl", "aaaa", "abc abc", "xxxx", "test test", "sample text", "replace me", "text for", "text goes", "text to be", "dummy text", "goes here", " here", "blindtext", "platzhaltertext", "à remplacer", "نص ", "اكتب"],
-    "error": ["not found", "forbidden", "unauthorized", "error", "bad gateway", "unavailable", "gateway time", "too many requests", "bad request", " gone", "denied", "request blocked", "permission to", "be found", "page you", "page cannot", "page could", "page can", "page does", "can't find", "no longer available", "have been removed", "went wrong", "occurred", "session", "log in", "sign in", "rate limit", "back shortly", "under construction", "scheduled maintenance", "undergoing maintenance", "down for maintenance", "under maintenance", "not configured", "connection failed", "timeout after", "traceback", "\", line", "exception", ".java:", "frontproxy/", "webd/", "edgecache/", "nginx/", "apache/", "nicht gefunden", "aufgetreten", "verweigert", "nicht mehr", "introuvable", "est survenue", "indisponible", "accès", "خطأ", "العثور", "غير موجودة", "غير متاحة", "تم حذف", "غير صحيح", "انتهت", "human", "checking your browser"],
+    "error": ["not found", "forbidden", "unauthorized", "error", "bad gateway", "unavailable", "gateway time", "too many requests", "bad request", " gone", "denied", "request blocked", "permission to", "be found", "page you", "page cannot", "page could", "page can", "page does", "can't find", "no longer available", "have been removed", "went wrong", "occurred", "session", "log in", "sign in", "rate limit", "back shortly", "under construction", "scheduled maintenance", "undergoing maintenance", "down for maintenance", "under maintenance", "not configured", "connection failed", "timeout after", "traceback", "\", line", "exception", ".java:", "frontproxy/", "webd/", "edgecache/", "nginx/", "apache/", "nicht gefunden", "aufgetreten", "verweigert", "nicht mehr", "introuvable", "est survenue", "indisponible", "accès", "خطأ", "العثور", "غير موجودة", "غير متاحة", "تم حذف", "غير صحيح", "انتهت", "are human", "a human", "checking your browser"],
     "script": ["script", "scripting", " js", "js ", "cookies", "browser", "سكريبت", "reload after"],
 }
 # Fixed value: forms that start with a sign too common to be a trigger.
@@ -76,9 +76,8 @@ def opened(text: Column) -> Column:
     return F.translate(out, "’‘", "''")
 
 
-def hits(text: Column) -> Column:
-    """The classes of which a text holds evidence."""
-    low = F.lower(text)
+def hits(text: Column, low: Column) -> Column:
+    """The classes of which a text holds evidence; ``low`` is the text in lower case, a column of its own."""
 
     def one(kind: str) -> Column:
         likely = F.contains(low, F.lit(TRIGGERS[kind][0]))
@@ -101,9 +100,10 @@ def find_residue(df: DataFrame, key: str, text: str, host: str, share: float = 0
     """
     rows = df.select(F.col(key).alias("_k"), F.col(host).alias("_h"), opened(F.col(text)).alias("_t")).where(F.length("_t") > 0)
     # Every text is tested once; what holds some evidence is kept and cut into lines.
-    some = cut_table(rows.select("_k", "_h", "_t", F.explode(F.array(hits(F.col("_t")))).alias("_all")).where(F.size("_all") > 0), "evidence")
-    lines = some.select("_k", "_h", F.explode(F.array_distinct(F.split("_t", BREAKS))).alias("_line"))
-    lines = lines.select("_k", "_h", "_line", F.explode(F.array(hits(F.col("_line")))).alias("_e")).where(F.size("_e") > 0)
+    lowered = spread(rows).withColumn("_low", F.lower("_t"))
+    some = cut_table(lowered.select("_k", "_h", "_t", F.explode(F.array(hits(F.col("_t"), F.col("_low")))).alias("_all")).where(F.size("_all") > 0), "evidence")
+    lines = some.select("_k", "_h", F.explode(F.array_distinct(F.split("_t", BREAKS))).alias("_line")).withColumn("_low", F.lower("_line"))
+    lines = lines.select("_k", "_h", "_line", F.explode(F.array(hits(F.col("_line"), F.col("_low")))).alias("_e")).where(F.size("_e") > 0)
     lines = cut_table(lines.select("_k", "_h", "_e", F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower("_line"), r"\d+", "0"), r"[^\p{L}\p{N}]+", " ")).alias("_n")), "lines")
     per_host = df.groupBy(F.col(host).alias("_g")).agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= least)
     recurrent = lines.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("_in")).join(per_host, F.col("_h").eqNullSafe(F.col("_g"))).where(F.col("_in") >= share * F.col("_docs")).select("_g", F.col("_n").alias("_m"))
