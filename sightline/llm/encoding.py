@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.session import spread as over_cores
+
 #: Where the vocabulary files lie; a parameter of every operator below.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
@@ -121,7 +123,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS,
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = over_cores(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
     length = F.length(F.coalesce("t", F.lit("")))
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
