@@ -67,7 +67,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where a scan yields fewer partitions than that; else untouched.
 
     For operators whose work per row outweighs moving it: a small or badly written file would
-    otherwise be one task. Large inputs have more splits than cores and aren't shuffled.
+    otherwise be one task. Large inputs have more splits than cores and aren't shuffled. Only
+    for plain scans: counting the partitions of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
