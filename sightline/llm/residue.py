@@ -50,15 +50,15 @@ EVIDENCE: dict[str, list[str]] = {
         r"\b(?:site|page|app) requires (?:java ?script|scripts)\b", r"\bplease (?:enable|activate|turn on|switch on|allow) (?:java ?script|js|scripting|(?:client-side )?scripts|cookies)\b", r"\b(?:enable|activate) cookies and (?:scripts|java ?script) to\b", r"\bbrowser is not supported\b", r"<noscript>", r"\b(?:java ?script|scripts?)\b[^.]{0,20} switched off\b", r"\bbitte (?:aktivieren sie|javascript)\b[^.]{0,40}(?:javascript|aktivieren)", r"\bveuillez activer (?:le )?javascript\b", r"\bjavascript est désactivé\b", r"يرجى تفعيل جافا ?سكريبت", r"تفعيل جافا ?سكريبت",
     ],
 }
-# A text without any of its class's triggers (lower case) can't match the class; plain substring search spares it the expressions.
+# Each form of a class holds one of its triggers (lower case) or is among the open forms, so a text with neither can't match; plain substring search spares it the expressions.
 TRIGGERS: dict[str, list[str]] = {
-    "placeholder": ["{", "[", "@@", "##", "*|", "%(", "__", "<%", "$", "(insert", "(enter", "(add", "(your", "(fill", "(type", "(please", "undefined", "null", "nan -", "nan-", "nan –", "nan–", ": nan", ":nan", ": none"],
-    "filler": ["lorem", "ipsum", "dolor", "blah", "asdf", "qwer", "zxcv", "hjkl", "aaaa", "abc abc", "xxxx", "test test", "sample text", "replace me", "text for", "text goes", "text to be", "dummy text", "goes here", " here", "blindtext", "platzhaltertext", "à remplacer", "نص ", "اكتب"],
-    "error": ["not found", "forbidden", "unauthorized", "error", "bad gateway", "unavailable", "gateway time", "too many requests", "bad request", " gone", "denied", "request blocked", "permission to", "be found", "page you", "page cannot", "page could", "page can", "page does", "can't find", "no longer available", "have been removed", "went wrong", "occurred", "session", "log in", "sign in", "rate limit", "back shortly", "under construction", "scheduled maintenance", "undergoing maintenance", "down for maintenance", "under maintenance", "not configured", "connection failed", "timeout after", "traceback", "\", line", "exception", ".java:", "frontproxy/", "webd/", "edgecache/", "nginx/", "apache/", "nicht gefunden", "aufgetreten", "verweigert", "nicht mehr", "introuvable", "est survenue", "indisponible", "accès", "خطأ", "العثور", "غير موجودة", "غير متاحة", "تم حذف", "غير صحيح", "انتهت", "are human", "a human", "checking your browser"],
-    "script": ["script", "scripting", " js", "js ", "cookies", "browser", "سكريبت", "reload after"],
+    "placeholder": ["{", "[", "@@", "##", "*|", "%(", "__", "<%", "$", "(insert", "(enter", "(add", "(your", "(fill", "(type", "(please", "undefined", "null", "nan -", "nan-", "nan –", "nan–", ": nan", ":nan", ": none", ":none"],
+    "filler": ["lorem", "ipsum", "dolor", "blah", "asdf", "qwer", "zxcv", "hjkl", "uiop", "aaaa", "abc abc", "xxxx", "test test", "sample text", "replace me", "text for", "text goes", "text to be", "dummy text", "goes here", " here", "blindtext", "platzhaltertext", "à remplacer", "نص ", "اكتب"],
+    "error": ["not found", "forbidden", "unauthorized", "error", "bad gateway", "unavailable", "gateway", "too many requests", "bad request", "gone", "denied", "request blocked", "permission to", "be found", "page you", "page cannot", "page could", "page can", "page does", "t find that", "no longer available", "have been removed", "went wrong", "occurred", "session", "log in", "sign in", "rate limit", "back shortly", "under construction", "scheduled maintenance", "undergoing maintenance", "down for maintenance", "under maintenance", "not configured", "connection failed", "timeout after", "traceback", "\", line", "exception", ".java:", "frontproxy/", "webd/", "edgecache/", "nginx/", "apache/", "nicht gefunden", "aufgetreten", "verweigert", "nicht mehr", "introuvable", "est survenue", "indisponible", "accès", "خطأ", "العثور", "غير موجودة", "غير متاحة", "تم حذف", "غير صحيح", "انتهت", "are human", "a human", "checking your browser"],
+    "script": ["script", "scripting", " js", "js ", "cookies", "browser", "سكريبت", "reload after", "bitte aktivieren"],
 }
-# Fixed value: forms that start with a sign too common to be a trigger.
-OPEN_FORMS = {"placeholder": rf"%[A-Z]|(?i)<<?(?!/?{TAGS}\b)[a-z]", "filler": r"(?i)\b(\w{3,12}) \1 \1 \1\b"}
+# Fixed value: forms that start with a sign or consist of words too common to be triggers.
+OPEN_FORMS = {"placeholder": rf"%[A-Z]|(?i)<<?(?!/?{TAGS}\b)[a-z]", "filler": rf"(?i)\b(\w{{3,12}}) \1 \1 \1\b|{EVIDENCE['filler'][1]}"}
 #: Lines and sentences: breaks, block elements, ends of sentences.
 BREAKS = r"(?i)\r?\n|</?(?:p|li|ul|ol|div|br|h[1-6]|tr|td|hr)\b[^>]{0,80}>|(?<=[.!?؟…])\s+"
 

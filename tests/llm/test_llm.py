@@ -1,6 +1,7 @@
 """Operators of the llm subpackage: cases, edges, brute force and held-out truth."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -15,7 +16,7 @@ from sightline.llm.linkage import LabelModel, link
 from sightline.llm.names import Profiles, abbreviates, core, resolve_names
 from sightline.llm.packing import pack, plan
 from sightline.llm.places import map_countries, map_places
-from sightline.llm.residue import find_residue
+from sightline.llm.residue import EVIDENCE, OPEN_FORMS, TRIGGERS, find_residue
 from sightline.llm.spelling import Vocabulary, deletions, distance, fold
 from sightline.llm.survivors import consensus, group_consensus, survivors
 from sightline.llm.titles import TitleWords
@@ -166,6 +167,53 @@ def test_residue(spark):
     assert find_residue(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
+def written(tree, rnd, groups):
+    """A random text of a parsed expression, repeats as few as may be or one more."""
+    out = ""
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN" if str(arg[0][0]) == "NEGATE":
+                out += rnd.choice([c for c in "q -" if ("LITERAL", ord(c)) not in [(str(o), a) for o, a in arg]])
+            case "IN":
+                op, arg = rnd.choice(arg)
+                kinds = {"CATEGORY_WORD": "q7", "CATEGORY_DIGIT": "4", "CATEGORY_SPACE": " ", "CATEGORY_NOT_WORD": "! "}
+                out += {"LITERAL": lambda: chr(arg), "RANGE": lambda: chr(rnd.randint(*arg)), "CATEGORY": lambda: rnd.choice(kinds[str(arg)])}[str(op)]()
+            case "NOT_LITERAL":
+                out += rnd.choice([c for c in "q -" if ord(c) != arg])
+            case "ANY":
+                out += "q"
+            case "BRANCH":
+                out += written(rnd.choice(arg[1]), rnd, groups)
+            case "SUBPATTERN":
+                out += (text := written(arg[3], rnd, groups))
+                groups[arg[0]] = text
+            case "GROUPREF":
+                out += groups[arg]
+            case "MAX_REPEAT":
+                out += "".join(written(arg[2], rnd, groups) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 1))))
+    return out
+
+
+@pytest.mark.parametrize("kind", EVIDENCE)
+def test_every_form_of_evidence_passes_its_prefilter(kind):
+    rnd, opens = random.Random(1), OPEN_FORMS.get(kind)
+    for form in EVIDENCE[kind]:
+        tree, whole = re._parser.parse(form, re.I), re.compile(form, re.I)
+        texts = [t for t in (written(tree, rnd, {}) for _ in range(1500)) if whole.search(t)]
+        assert texts, form
+        # Only the second half of the open forms of placeholders disregards case.
+        missed = [t for t in texts if not any(x in t.lower() for x in TRIGGERS[kind]) and not (opens and any(re.search(o.removeprefix("(?i)"), t, re.A if o == "%[A-Z]" else re.A | re.I) for o in opens.split("|(?i)")))]
+        assert not missed, (form, missed[:3])
+
+
+def test_filler_without_its_best_known_words(spark):
+    bad = ["Ullamco veniam veniam minim consectetur enim ullamco tempor do.", "sit ut et do sit.", "uiop uiop", "Department:none", "410:gone", "<title>Gateway</title>"]
+    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(bad)], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in find_residue(df, "doc_id", "text", "source").collect()) == list(range(len(bad)))
+
+
 def test_titles():
     words = TitleWords({w: 100 for w in ["welding", "supervisor", "heritage", "sites", "data", "buyer", "night", "shift", "contracts"]} | {"super": 20, "visor": 20, "heritagesites": 5}, {"jabal", "kutufim"})
     same = ["Junior Welding Supervisor - Heritage Sites", "HERITAGESITES: WELDING SUPER VISOR (Jnr)", "Urgent: Welding Supervisor, Jr. - Heritage Sites - Jabal Kutufim [5608]"]
