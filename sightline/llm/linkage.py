@@ -1,8 +1,9 @@
 """Matching entities across sources without keys, by a label model over heuristic votes.
 
 Listings are read into canonical partial attributes (work and focus, level, place,
-employer, text). Rows that agree in all of them form a class, so a hot group is one class
-and never all its pairs. Classes that share a block are candidates; several matching
+employer, text). Rows that agree in work, level, place and employer form a class, so a hot
+group is one class and never all its pairs; where the employer is veiled, text and date
+stand for it. Classes that share a block are candidates; several matching
 functions vote on each (match, no match, abstain). A generative model learns from the
 counts of the vote patterns alone how accurate each function is and which of them are
 correlated (those are modelled jointly), and gives every candidate a posterior. Accepted
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -217,24 +219,46 @@ def _votes() -> list[Column]:
 def link(listings: DataFrame, mapping: DataFrame, aliases: DataFrame, accept: float = 0.5) -> DataFrame:
     """(listing_a, listing_b, confidence): pairs of rows on different sources that are one opening.
 
-    Rows that agree in work, level, place and (known) employer are one class, and candidates
-    by their shared block; other candidates are pairs of classes that share the work and the
-    place, or the work and the employer. A class without a known employer, without a work or
-    without any place and employer is compared but never merged by itself alone unless its
-    votes suffice. Null titles, places, names and texts abstain; repeated rows give one pair;
-    an empty table gives none. All pairs of accepted classes are given.
+    Rows that agree in work, level, place and employer are one class, without a known employer
+    in text and date as well, so that all of them vote. Candidates are pairs of classes that
+    share the work and the place, or the work and the employer; where one has no place, a known
+    employer that the other's text may mention; for a class without place and employer a piece
+    of text. A class is a candidate with itself, and merged only if its votes suffice. Null
+    titles, places, names and texts abstain; repeated rows give one pair; an empty table gives
+    none. All pairs of accepted classes are given.
     """
     rows = cut_table(read_listings(listings, mapping, aliases).where("work <> ''").dropDuplicates(["k"]), "read")
-    keys = ["work", "level", "city", "first", "line"]
-    rows = rows.withColumn("c", F.xxhash64(*[F.coalesce(F.col(x), F.lit("\0")) for x in keys]))
+    rows = rows.withColumn("own", F.when(F.col("first").isNull(), F.struct("t", "posting_date")))
+    keys = ["work", "level", "city", "first", "line", "own"]
+    rows = rows.withColumn("c", F.xxhash64(*[F.coalesce(F.col(x), F.lit("\0")) for x in [*keys[:-1], "own.t"]], F.coalesce(F.col("own.posting_date").cast("string"), F.lit("\0"))))
     classes = rows.groupBy("c", *keys).agg(F.max_by("t", F.length(F.coalesce("t", F.lit("")))).alias("t"), F.min("posting_date").alias("day"), F.countDistinct("source").alias("sources"))
-    classes = cut_table(classes, "classes")
-    block = F.array_compact(F.array(F.when(F.col("city").isNotNull(), F.xxhash64(F.lit("place"), "work", "city")), F.when(F.col("first").isNotNull(), F.xxhash64(F.lit("name"), "work", "first"))))
-    blocked = classes.select("*", F.explode(block).alias("block"))
-    apart = blocked.alias("a").join(blocked.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.c") < F.col("b.c")))
-    apart = apart.select(F.col("a.c").alias("x"), F.col("b.c").alias("y"), *_votes()).distinct()
-    itself = classes.where("sources > 1 and (city is not null or first is not null)").alias("a")
-    alone = itself.select(F.col("c").alias("x"), F.col("c").alias("y"), F.when(F.col("first").isNotNull(), 1).otherwise(0).alias("employer"), F.lit(0).alias("mention"), F.lit(1).alias("level"), F.when(F.col("city").isNotNull(), 1).otherwise(0).alias("place"), F.lit(0).alias("text"), F.lit(0).alias("date"))
+    classes = cut_table(classes.drop("own"), "classes")
+    place = classes.where("city is not null").withColumn("block", F.xxhash64(F.lit("place"), "work", "city"))
+    named = classes.where("first is not null").withColumn("block", F.xxhash64(F.lit("name"), "work", "first"))
+    veiled = classes.where("first is null and t is not null")
+    asking = veiled.withColumn("block", F.explode(F.array_distinct(F.transform(F.split("t", " "), lambda w: F.xxhash64(F.lit("name"), F.col("work"), w)))))
+    middle = F.regexp_extract("t", r"^\S+ (.*) \S+$", 1)
+
+    def candidates(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
+        pairs = x.alias("a").join(y.alias("b"), (F.col("a.block") == F.col("b.block")) & more)
+        return pairs.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y"), *_votes())
+
+    once, other = F.col("a.c") < F.col("b.c"), F.col("a.c") != F.col("b.c")
+    blocked = [(place, place, once), (named, named, once), (asking, named, F.col("a.city").isNull() | F.col("b.city").isNull())]
+    bare = veiled.where("city is null")
+    if not bare.isEmpty():
+        # A shorter text's middle stands in a longer one only if its least piece does: that one is asked for among all.
+        near = cut_table(classes.where("t is not null").join(bare.select("work").distinct(), "work", "left_semi"), "near")
+        pieces = lambda t: F.expr(f"transform(sequence(1, greatest(size({t}) - 1, 1)), i -> xxhash64(work, get({t}, i - 1), get({t}, i)))")
+        near = near.withColumn("_w", F.split("t", " ")).withColumn("_m", F.split(middle, " ")).withColumn("all", F.array_distinct(pieces("_w"))).withColumn("least", F.array_min(pieces("_m")))
+        near = cut_table(near.drop("_w", "_m"), "pieces")
+        each, one, is_bare = near.withColumn("block", F.explode("all")), near.withColumn("block", F.col("least")), "first is null and city is null"
+        blocked += [(one.where(is_bare), each, other), (each.where(is_bare), one, other)]
+    apart = reduce(DataFrame.unionByName, [candidates(*x) for x in blocked]).distinct()
+    itself = classes.where("sources > 1 and (city is not null or first is not null or t is not null)").alias("a")
+    # A class without a known employer is of one text and one date; those of others differ and say nothing.
+    alike = lambda known: F.when(F.col("first").isNull() & known, 1).otherwise(0)
+    alone = itself.select(F.col("c").alias("x"), F.col("c").alias("y"), F.when(F.col("first").isNotNull(), 1).otherwise(0).alias("employer"), F.lit(0).alias("mention"), F.lit(1).alias("level"), F.when(F.col("city").isNotNull(), 1).otherwise(0).alias("place"), alike(F.length(F.coalesce(middle, F.lit(""))) >= 25).alias("text"), alike(F.col("day").isNotNull()).alias("date"))
     voted = cut_table(apart.withColumn("apart", F.lit(True)).unionByName(alone.withColumn("apart", F.lit(False))), "votes")
     # At most three to the number of functions patterns, whatever the corpus. Classes compared
     # with themselves teach nothing about the functions, they are only scored.

@@ -235,6 +235,25 @@ def test_label_model_learns_accuracies():
     assert right >= 0.99 * best and abs(model.prior - 0.4) < 0.1 and LabelModel().fit({}).posterior(()) == 0.5
 
 
+def test_every_veiled_text_votes(spark):
+    works = ["Welding Supervisor", "Fleet Buyer", "Payroll Planner", "Cloud Engineer", "Customs Auditor", "Solar Estimator", "Warehouse Trainer", "Lighting Designer"]
+    rows, want, day = [], set(), {"Jajo": "2026-01-05", "Mabi": "2026-03-09", "Crew": "2026-05-20"}
+    for i, work in enumerate(works):
+        for name, does in (("Jajosham", "you compare the offers of all vendors and keep the long register of items up to date"), ("Mabikolu", "close open points within nine working days and walk the site with the yard crew")):
+            text = f"{name} needs a {work} for the yard. {does}"
+            rows += [(f"{i}{name}n", "jooble", work, "Riyadh", f"{name} Trading", text), (f"{i}{name}v", "workable", work, "Riyadh", "Confidential", text)]
+            want.add((f"{i}{name}n", f"{i}{name}v"))
+        hidden = f"Crews meet at dawn beside gate number four and share one lift to the remote {work} camp"
+        rows += [(f"{i}x", "jooble", work, None, None, hidden), (f"{i}y", "workable", work, None, "Confidential", hidden), (f"{i}z", "workable", work, None, None, f"Jajosham needs a {work} for the yard. you compare the offers of all vendors and keep the long re")]
+        want |= {(f"{i}x", f"{i}y"), (f"{i}Jajoshamn", f"{i}z")}
+    listings = spark.createDataFrame([(*r, None, day[r[5][:4]]) for r in rows], "source_record_sk string, source_name string, job_title string, location_raw string, company_name string, description_text string, title_norm string, posting_date string")
+    listings = listings.withColumn("posting_date", F.to_date("posting_date")).withColumn("city_std", F.lit(None).cast("string"))
+    mapping = spark.createDataFrame([("riyadh", "Riyadh", "Riyadh Region")], "alias string, city_std string, region_std string")
+    aliases = spark.createDataFrame([("jajosham trading", "Jajosham Trading"), ("mabikolu trading", "Mabikolu Trading"), ("confidential", "Unknown")], "alias string, company_std string")
+    got = {(r[0], r[1]) for r in link(listings, mapping, aliases).collect()}
+    assert got == want
+
+
 def test_linkage_against_known_groups(spark, sf):
     t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
     known = t("int_jobs_matched").select("source_record_sk", "job_sk").distinct()
