@@ -94,20 +94,28 @@ def find_residue(df: DataFrame, key: str, text: str, host: str, share: float = 0
     """(key, kinds) of the rows whose residual text holds evidence; kinds is a sorted array.
 
     A line is boilerplate if it stands in at least ``share`` of a host's documents and the host
-    has ``least`` or more. Counts cover all documents and all of their lines that hold evidence
-    (lines without can't change the result and are not shuffled). Null, empty and blank texts
-    hold nothing; repeated rows give one row; a null host is a host of its own.
+    has ``least`` or more (in a host of one document each line stands in all of them). Documents
+    are counted by distinct keys, however often a line or a row is repeated. A document of
+    recurrent lines alone is no document with boilerplate but a page that recurs, and keeps its
+    evidence. Only documents that hold evidence are cut and counted by line: others can't change
+    the result. Null, empty and blank texts hold nothing; repeated rows give one row; a null
+    host is a host of its own.
     """
     rows = df.select(F.col(key).alias("_k"), F.col(host).alias("_h"), opened(F.col(text)).alias("_t")).where(F.length("_t") > 0)
     # Every text is tested once; what holds some evidence is kept and cut into lines.
     lowered = spread(rows).withColumn("_low", F.lower("_t"))
     some = cut_table(lowered.select("_k", "_h", "_t", F.explode(F.array(hits(F.col("_t"), F.col("_low")))).alias("_all")).where(F.size("_all") > 0), "evidence")
     lines = some.select("_k", "_h", F.explode(F.array_distinct(F.split("_t", BREAKS))).alias("_line")).withColumn("_low", F.lower("_line"))
-    lines = lines.select("_k", "_h", "_line", F.explode(F.array(hits(F.col("_line"), F.col("_low")))).alias("_e")).where(F.size("_e") > 0)
-    lines = cut_table(lines.select("_k", "_h", "_e", F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower("_line"), r"\d+", "0"), r"[^\p{L}\p{N}]+", " ")).alias("_n")), "lines")
-    per_host = df.groupBy(F.col(host).alias("_g")).agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= least)
-    recurrent = lines.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("_in")).join(per_host, F.col("_h").eqNullSafe(F.col("_g"))).where(F.col("_in") >= share * F.col("_docs")).select("_g", F.col("_n").alias("_m"))
-    left = lines.join(recurrent, F.col("_h").eqNullSafe(F.col("_g")) & (F.col("_n") == F.col("_m")), "left_anti").select("_k", "_e")
+    lines = lines.select("_k", "_h", "_line", "_low", F.explode(F.array(hits(F.col("_line"), F.col("_low")))).alias("_e")).where((F.size("_e") > 0) | F.col("_line").rlike(r"[\p{L}\p{N}]"))
+    # Numbers in a line of evidence don't tell it from others; elsewhere a number may be a document's own, but words of letters and digits are references.
+    same = F.when(F.size("_e") > 0, F.regexp_replace("_low", r"\d+", "0")).otherwise(F.regexp_replace("_low", r"\b(?:\d+[a-z]|[a-z]+\d)[a-z\d]*\b", "0"))
+    lines = cut_table(lines.select("_k", "_h", "_e", F.xxhash64(F.regexp_replace(same, r"[^\p{L}\p{N}]+", " ")).alias("_n")), "lines")
+    per_host = df.select(F.col(host).alias("_g"), F.col(key).alias("_k")).distinct().groupBy("_g").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= least)
+    stands = lines.select("_h", "_n", "_k").distinct().groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("_in"))
+    recurrent = stands.join(per_host, F.col("_h").eqNullSafe(F.col("_g"))).where(F.col("_in") >= share * F.col("_docs")).select("_g", F.col("_n").alias("_m"))
+    marked = lines.join(recurrent, F.col("_h").eqNullSafe(F.col("_g")) & (F.col("_n") == F.col("_m")), "left")
+    by_document = marked.groupBy("_k", "_h").agg(F.count_if(F.col("_m").isNull()).alias("_own"), F.flatten(F.collect_set("_e")).alias("_every"), F.flatten(F.collect_set(F.when(F.col("_m").isNull(), F.col("_e")))).alias("_rest"))
+    left = by_document.select("_k", F.when(F.col("_own") == 0, F.col("_every")).otherwise(F.col("_rest")).alias("_e")).where(F.size("_e") > 0)
     # Evidence that only stands across lines (a title and its body) belongs to no line.
-    across = some.join(lines.select("_k").distinct(), "_k", "left_anti").select("_k", F.col("_all").alias("_e"))
+    across = some.join(lines.where(F.size("_e") > 0).select("_k").distinct(), "_k", "left_anti").select("_k", F.col("_all").alias("_e"))
     return left.unionByName(across).groupBy("_k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_e")))).alias("kinds")).withColumnRenamed("_k", key)

@@ -167,6 +167,17 @@ def test_residue(spark):
     assert find_residue(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
+def test_boilerplate_is_counted_by_documents(spark):
+    own = ["alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega", "theta", "lambda", "zeta"]
+    text = lambda i: f"The {own[i % 10]} crew {own[i // 10]} ships weekly."
+    rows = [(0, "\n".join(f"Item {i}: [insert text here]" for i in range(10)), "numbered")] + [(i, text(i), "numbered") for i in range(1, 20)]
+    rows += [(100, f"{text(0)}\n[insert text here]", "repeated")] * 25 + [(100 + i, text(i), "repeated") for i in range(1, 20)]
+    rows += [(200 + i, f"Access denied. Reference: {i}ab{i}\nBack to home" if i % 2 else text(i), "blocked") for i in range(40)]
+    rows += [(300 + i, f"{text(i)}\nPlease enable JavaScript to view this page.", "notice") for i in range(25)]
+    got = [r["doc_id"] for r in find_residue(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()]
+    assert sorted(got) == [0, 100, *range(201, 240, 2)]
+
+
 def written(tree, rnd, groups):
     """A random text of a parsed expression, repeats as few as may be or one more."""
     out = ""
