@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.spelling import Vocabulary, allowed, deletions, distance, fold, forms, is_arabic, words
+from sightline.llm.spelling import LongVocabulary, Vocabulary, allowed, deletions, distance, fold, forms, is_arabic, words
 from sightline.session import cut_table
 
 # Legal forms and the remarks that feeds put beside a name.
@@ -81,7 +81,7 @@ class Profiles:
                     runs.setdefault(fold(lead + run), set()).add(std)
         self.runs = runs
         self.names = Vocabulary(written)
-        self.run_words = Vocabulary({lead + "".join(w) for w in self.standard.values() for lead in ("", "al") if len(w) > 1} | {lead + "".join(w[:-1]) + "and" + w[-1] for w in self.standard.values() for lead in ("", "al") if len(w) > 2}, most=1)
+        self.run_words = LongVocabulary({lead + "".join(w) for w in self.standard.values() for lead in ("", "al") if len(w) > 1} | {lead + "".join(w[:-1]) + "and" + w[-1] for w in self.standard.values() for lead in ("", "al") if len(w) > 2})
         self.trade = Vocabulary({x for b in self.business.values() for x in b} | {x for s in self.foreign.values() for x in s})
         self.initials: dict[str, set[str]] = {}
         for std, w in self.standard.items():

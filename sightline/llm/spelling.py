@@ -91,6 +91,10 @@ class Vocabulary:
             for k in deletions(w, min(allowed(w), most)):
                 self.keys.setdefault(k, set()).add(w)
 
+    def _candidates(self, form: str) -> set[str]:
+        """Entries that may be within the allowed distance of a form."""
+        return {w for k in deletions(form, min(allowed(form), self.most)) for w in self.keys.get(k, ())}
+
     def near(self, word: str) -> list[tuple[str, float]]:
         """Folded entries within the allowed distance with a similarity of 0 to 1; an exact one alone, else the nearest."""
         found: dict[str, tuple[int, int]] = {}
@@ -99,11 +103,51 @@ class Vocabulary:
                 found[n] = (0, len(form))
         if not found:
             for form in forms(word):
-                for k in deletions(form, min(allowed(form), self.most)):
-                    for w in self.keys.get(k, ()):
-                        most = min(allowed(form), allowed(w), self.most)
-                        if (d := distance(form, w, most)) <= most:
-                            for n in self.names[w]:
-                                found[n] = min(found.get(n, (99, 1)), (d, max(len(form), len(w))))
+                for w in self._candidates(form):
+                    most = min(allowed(form), allowed(w), self.most)
+                    if (d := distance(form, w, most)) <= most:
+                        for n in self.names[w]:
+                            found[n] = min(found.get(n, (99, 1)), (d, max(len(form), len(w))))
         best = min((d for d, _ in found.values()), default=0)
         return sorted((n, 1 - d / size) for n, (d, size) in found.items() if d == best)
+
+
+class LongVocabulary(Vocabulary):
+    """A vocabulary of long words within two edits, for a tenth of the deletion keys.
+
+    Of two edits, one half of a word takes one at most (a swap across the cut is one in each
+    half). So halves are looked up with one deletion, beside each cut of the word asked for
+    that may meet theirs, and what is found is compared whole.
+    """
+
+    def __init__(self, entries: set[str]) -> None:
+        super().__init__(set())
+        self.most = 2
+        for e in entries:
+            for f in forms(e):
+                self.names.setdefault(f, set()).add(fold(e))
+        self.halves: tuple[dict[str, list[str]], dict[str, list[str]]] = ({}, {})
+        self.letters: dict[str, int] = {}
+        for w in sorted(self.names):
+            if allowed(w):
+                self.letters[w] = self._letters(w)
+                for half, at in zip((w[: len(w) // 2], w[len(w) // 2 :]), self.halves):
+                    for k in deletions(half):
+                        at.setdefault(k, []).append(w)
+
+    @staticmethod
+    def _letters(word: str) -> int:
+        """The letters of a word as bits; an edit changes two of them at most."""
+        out = 0
+        for c in word:
+            out |= 1 << ord(c) % 64
+        return out
+
+    def _candidates(self, form: str) -> set[str]:
+        seen = self._letters(form)
+        middle, out = len(form) // 2, set()
+        for cut in range(max(0, middle - 2), min(len(form), middle + 3) + 1):
+            for half, at in zip((form[:cut], form[cut:]), self.halves):
+                for k in deletions(half):
+                    out.update(at.get(k, ()))
+        return {w for w in out if (self.letters[w] ^ seen).bit_count() <= 4}

@@ -17,7 +17,7 @@ from sightline.llm.names import Profiles, abbreviates, core, resolve_names
 from sightline.llm.packing import pack, plan
 from sightline.llm.places import map_countries, map_places
 from sightline.llm.residue import EVIDENCE, OPEN_FORMS, TRIGGERS, find_residue
-from sightline.llm.spelling import Vocabulary, deletions, distance, fold
+from sightline.llm.spelling import LongVocabulary, Vocabulary, deletions, distance, fold
 from sightline.llm.survivors import consensus, group_consensus, survivors
 from sightline.llm.titles import TitleWords
 
@@ -137,6 +137,22 @@ def test_merged_spellings_match_further_ones(spark):
     assert got.get("1") and got.get("2") and "3" not in got
 
 
+def test_glued_names_with_two_typos(spark):
+    rnd = random.Random(1)
+    stems, lines = ["mabijis", "jajosham", "lulittaq", "kiritan", "sanum", "kutufim"], ["marineservices", "autoparts", "dental", "realestate", "x"]
+    entries = {a + b for a in stems for b in lines}
+    whole, halved = Vocabulary(entries), LongVocabulary(entries)
+    for _ in range(3000):
+        w = rnd.choice(sorted(entries))
+        for _ in range(rnd.randint(0, 3)):
+            i, c = rnd.randrange(len(w)), rnd.choice("aeimst")
+            w = rnd.choice([w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+        assert halved.near(w) == whole.near(w), w
+    aliases = spark.createDataFrame([("mabijis marine services", "Mabijis Marine Services"), ("jajosham auto parts", "Jajosham Auto Parts")], "alias string, company_std string")
+    rows = [("1", "Mabijsmarineservces"), ("2", "Jajoshmaautopatrs"), ("3", "Jajsmautopatrs")]
+    assert {r[0]: r[1] for r in resolve_names(spark.createDataFrame(rows, "k string, n string"), "k", "n", aliases).collect()} == {"1": "Mabijis Marine Services", "2": "Jajosham Auto Parts"}
+
+
 def test_consensus_and_survivors(spark):
     full = "acme needs a buyer for night shift you compare offers from vendors"
     assert consensus([("acme needs a buyer", 1.0), (full, 0.2), ("needs a buyer for nig", 1.0)])[0] == full
