@@ -38,8 +38,10 @@ def unescape(c: Column, rounds: int = 2) -> Column:
 
 
 def content_only(c: Column) -> Column:
-    """Letters and digits alone, lower case: equal for values that differ in writing only.
+    """Letters, digits, currency signs and decimal points alone, lower case: equal for values that differ in writing only.
 
-    Case, spacing, punctuation, escaping and combining marks vanish; null becomes ''.
+    Case, spacing, other punctuation (also of groups of three digits), escaping and combining
+    marks vanish; null becomes ''.
     """
-    return F.coalesce(F.regexp_replace(F.lower(ascii_digits(unescape(c))), r"[^\p{L}\p{N}]+", ""), F.lit(""))
+    kept = F.regexp_replace(F.lower(ascii_digits(unescape(c))), r"[^\p{L}\p{N}\p{Sc}.,٫]+|(?<!\d)[.,٫]|[.,٫](?!\d)|[.,٫](?=\d{3}(?!\d))", "")
+    return F.coalesce(F.translate(kept, ",٫", ".."), F.lit(""))

@@ -59,3 +59,8 @@ def test_jaro_winkler_is_a_symmetric_similarity(a, b):
     s = jaro_winkler_score(a, b)
     assert 0 <= s <= 1 and (s == 1.0) == (a == b) or a != b
     assert abs(s - jaro_winkler_score(b, a)) < 1e-9
+
+
+def test_content_keeps_currency_and_decimal_points(spark):
+    for a, b, same in [("$4000", "€4000", False), ("12.5k", "125k", False), ("12.5k", "12,5 K", True), ("SAR 5,000.", "sar 5000", True), ("1.234.567", "1234567", True)]:
+        assert (one(spark, writing.content_only, a) == one(spark, writing.content_only, b)) == same
