@@ -76,14 +76,14 @@ FORMS: dict[str, list[tuple[list[str], str]]] = {
     ],
     "error": [
         (["found", "forbidden", "unauthori", "payment required", "not allowed", "not acceptable", "authentication required", "time", "gone", "too large", "unsupported", "too many", "legal reasons", "server error", "not implemented", "gateway", "unavailable", "bad request", "denied"], rf"\b(?:error |status |code |http )*[45]\d\d\b(?: error)?\W{{0,4}}(?:the |requested )?{_REASON}\b"), (["found", "forbidden", "unauthori", "payment required", "not allowed", "not acceptable", "authentication required", "time", "gone", "too large", "unsupported", "too many", "legal reasons", "server error", "not implemented", "gateway", "unavailable", "bad request", "denied"], rf"^\W*(?:[^|]{{0,60}}\| *)?(?:error\W+)?{_REASON}\W*(?:[45]\d\d)?\W*$"),
-        (["internal server", "bad gateway", "gateway time", "too many req", "rate limit", "service unavail", "service temp"], r"\b(?:internal server error|bad gateway|gateway time-?out|too many requests|rate limit (?:exceeded|reached)|service (?:temporarily )?unavailable)\b"), (["error", "fehler", "erreur", "خطأ"], r"^\W*(?:http |server )?(?:error|fehler|erreur|خطأ)\W{0,3}(?:code )?[45]\d\d\b\W*(?:[:|–-]|$)"),
+        (["<title"], r"<title>[^<]*(?:not found|forbidden|error|unavailable|gateway|denied)"), (["internal server", "bad gateway", "gateway time", "too many req", "rate limit", "service unavail", "service temp"], r"\b(?:internal server error|bad gateway|gateway time-?out|too many requests|rate limit (?:exceeded|reached)|service (?:temporarily )?unavailable)\b"), (["error", "fehler", "erreur", "خطأ"], r"^\W*(?:http |server )?(?:error|fehler|erreur|خطأ)\W{0,3}(?:code )?[45]\d\d\b\W*(?:[:|–-]|$)"),
         (["found", "displayed", "loaded", "reached", "opened", "shown", "processed", "completed", "located", "accessed", "established", "verified", "available", "configured", "responding", "reachable", "accessible", "exist", "no longer", "unavailable", "offline", "overloaded", "timed out", "expired", "blocked", "taken down", "terminated", "withdrawn", "removed", "deleted", "moved", "closed", "archived", "unpublished", "failed", "refused", "reset"], rf"\b{_SUBJECT}s?\b(?:\W+(?!to\b)[\w'-]+){{0,4}}?\W+{_FAILS}"), (["removed", "deleted", "moved"], r"\bit (?:may|might) have been (?:removed|deleted|moved)\b"),
-        (["denied", "forbidden", "refused", "restricted", "blocked", "rejected"], r"\b(?:access|permission)(?: (?:is|was|has been))? (?:denied|forbidden|refused|restricted)\b(?! (?:without|unless|if|to anyone|for))|\brequest (?:was |has been |is )?(?:blocked|denied|rejected|refused)\b"), (["permission", "authori", "allowed"], r"\byou (?:don't|do not|are not|aren't) (?:have (?:the |sufficient )?permissions?|authori[sz]ed|allowed|permitted) to (?:access|view|see|open|use)\b"), (["permission to"], r"\byou don't have permission to\b"),
+        (["denied", "forbidden", "refused", "restricted", "blocked", "rejected"], r"\b(?:access|permission)(?: (?:is|was|has been))? (?:denied|forbidden|refused|restricted)\b(?! (?:without|unless|if|to anyone|for))|\brequest (?:was |has been |is )?(?:blocked|denied|rejected|refused)\b"), (["permission", "authori", "allowed", "permitted to"], r"\byou (?:don't|do not|are not|aren't) (?:have (?:the |sufficient )?permissions?|authori[sz]ed|allowed|permitted) to (?:access|view|see|open|use)\b"), (["permission to"], r"\byou don't have permission to\b"),
         (["went wrong", "occurred", "oops"], r"\bsomething went wrong\b|\b(?:an|some|this) (?:[\w-]+ )?error (?:has |have )?occurred\b|\bhas occurred\W+(?:reference|error|code)|^\W*oops\b"), (["we can", "we could", "we were unable", "unable to"], r"\bwe (?:can ?not|can't|could not|couldn't|were unable to) (?:find|load|locate|display|show|process|complete|open|reach|retrieve)\b|^\W*(?:sorry\W+)?unable to (?:load|display|find|connect|process|complete|retrieve|resolve|reach)\b"), (["you are looking for", "you were looking for", "you requested", "you tried"], r"\bthe (?:page|job|url|file|resource|document|posting) you (?:are looking for|were looking for|requested|tried)\b"),
         (["try again", "log in", "sign in", "reload", "refresh"], r"\bplease try again\b|\btry again (?:later|shortly|soon|in a)|\bplease (?:log|sign) in (?:again|to (?:continue|view|see|access|proceed))|\b(?:log|sign) in again\b|\bplease (?:reload|refresh) (?:the|this) page\b|\b(?:reload|refresh) (?:the|this) page (?:and|or|to)\b"), (["back shortly", "back soon", "back online", "coming soon"], r"\b(?:we'?(?:ll| will)|we will|will) be back (?:shortly|soon|online)\b|^\W*coming soon\W*$"),
         (["construction"], rf"\b{_VIEWER}s? (?:is |are )?(?:currently )?under construction\b|^\W*under construction\W*$"), (["down for", "undergoing", "under maintenance", "under scheduled", "under planned", "under routine", "under urgent", "scheduled maintenance", "planned maintenance"], r"\b(?:down for|undergoing)(?: \w+)? maintenance\b|\b(?:site|page|system|service|portal|server|website)s?(?: \w+){0,2} under(?: scheduled| planned| routine| urgent)? maintenance\b|^\W*(?:scheduled|planned) maintenance\W*$"), (["timeout after"], r"\btimeout after \d+"),
         (["traceback", "stack trace", "exception in"], r"\btraceback \(most recent|\bstack trace:|\bexception in thread\b"), (["exception", "error"], r"\b(?:[a-z_$][\w$]*\.){2,}[\w$]*(?:exception|error)\b|\b[a-z]{2,}(?:error|exception): "), ([".java", ".kt", ".scala", ".py", ".js", ".ts", ".php", ".cs", ".rb", ".go", "native method", "unknown source", "\", line "], r"\bat (?:[\w$]+\.)+[\w$<>]+\((?:\w+\.(?:java|kt|scala|py|js|ts|php|cs|rb|go)(?::\d+)?|native method|unknown source)\)|\bfile \"[^\"]+\", line \d+"), (["fatal error", "parse error", "syntax error", "uncaught ", "sqlstate", "segmentation fault", "call to undefined", "undefined index", "undefined variable"], r"\b(?:fatal|parse|syntax) error[:,]|\buncaught \w+(?:error|exception)?\b|\bsqlstate\b|\bsegmentation fault\b|\bcall to undefined\b|\bundefined (?:index|variable)\b"),
-        (["\"error", "'error", "<error"], r"[\"']error(?:s|_?code|_?message)?[\"'] ?:|<error>"), ([f"/{n}" for n in range(10)], r"^\W*[a-z][\w-]*/\d+(?:\.\d+)+\W*(?:\(\w+\))?\W*$"), (["you are human", "you are a human", "you are not a", "you're human", "you're a human", "you're not a", "your browser", "captcha", "unusual traffic", "ray id"], r"\b(?:verify|verifying|confirm|prove|check|checking)(?: that)? you(?:'re| are) (?:a |not a )?(?:human|robot|bot)\b|\bchecking your browser\b|\bcomplete the captcha\b|\bunusual traffic\b|\bray id\b"),
+        (["\"error", "'error", "<error"], r"[\"']error(?:s|_?code|_?message)?[\"'] ?:|<error>"), ([f"/{n}" for n in range(10)], r"^\W*[a-z][\w-]*/\d+(?:\.\d+)+\W*(?:\(\w+\))?\W*$"), (["you are human", "you are a human", "you are not a", "you're human", "you're a human", "you're not a", "your browser", "captcha", "unusual traffic", "ray id"], r"\b(?:verify|verifying|confirm|prove|check|checking)(?: that)? you(?:'re| are) (?:(?:a )?human|not a (?:robot|bot|machine))\b|\bchecking your browser\b|\bcomplete the captcha\b|\bunusual traffic\b|\bray id\b"),
         (["nicht gefunden", "verfügbar", "erreichbar", "vorhanden", "existiert", "abgelaufen", "verweigert", "gesperrt", "fehlgeschlagen", "gelöscht", "entfernt", "im aufbau"], r"\b(?:seite|stelle|anzeige|stellenanzeige|angebot|dienst|server|link|verbindung|sitzung|zugriff|datei|inhalt)\b(?:\W+[\w'-]+){0,4}?\W+(?:nicht gefunden|nicht (?:mehr )?(?:verfügbar|erreichbar|vorhanden)|existiert nicht|abgelaufen|verweigert|gesperrt|fehlgeschlagen|gelöscht|entfernt|im aufbau)\b|\bnicht mehr verfügbar\b"), (["fehler", "schief", "wartungsarbeiten", "versuchen sie es"], r"\b(?:ein|interner|unbekannter|unerwarteter)(?: \w+)? ?fehler (?:ist )?(?:aufgetreten|passiert)\b|\binterner serverfehler\b|\betwas ist schief\w*|\bwegen wartungsarbeiten\b|\bversuchen sie es (?:später|erneut)"),
         (["introuvable", "existe", "non trouvé", "indisponible", "expiré", "refusé", "interdit", "inaccessible", "supprimé", "disponible", "en maintenance", "en construction"], r"\b(?:page|offre|annonce|service|site|lien|session|serveur|accès|connexion|contenu|poste|fichier)\b(?:\W+[\w'-]+){0,4}?\W+(?:introuvable|n'existe (?:pas|plus)|non trouvée?|indisponible|expirée?|refusée?|interdite?|inaccessible|supprimée?|n'est (?:pas|plus) (?:disponible|accessible)|en maintenance|en construction)|\btemporairement indisponible\b"), (["erreur", "réessay"], r"\bune erreur (?:\w+ )?(?:est survenue|s'est produite)\b|\berreur interne\b|\bveuillez réessayer\b|\bréessayez plus tard\b"),
         (["خطأ"], r"حدث خطأ|خطأ (?:في الخادم|داخلي|غير متوقع|\d+ ?:)"), (["غير ", "العثور", "انتهت", "تم حذف", "تعذر", "قيد ", "مرفوض", "محظور", "لا يمكن"], r"(?:الصفحة|الوظيفة|الإعلان|الخدمة|الرابط|الجلسة|الموقع|الخادم|الطلب|الوصول)(?:\s+\S+){0,3}?\s+(?:غير (?:موجود|متاح|صحيح|متوفر)\w*|قيد (?:الصيانة|الإنشاء)|مرفوض|محظور)|لم يتم العثور على|انتهت (?:الجلسة|صلاحية)|تم حذف (?:هذا|هذه) |تعذر (?:تحميل|الوصول|عرض)|لا يمكن (?:عرض|تحميل|الوصول إلى) (?:الصفحة|هذه)"), (["حاول مرة", "المحاولة"], r"(?:حاول مرة أخرى|يرجى المحاولة)"),
@@ -98,7 +98,7 @@ FORMS: dict[str, list[tuple[list[str], str]]] = {
 #: Forms in which case tells a placeholder from prose; their triggers are as above.
 CASED: list[tuple[list[str], str]] = [([f"%{c}" for c in "abcdefghijklmnopqrstuvwxyz"], r"%[A-Z][A-Z]*_?[A-Z_]+%"), (["__"], r"(?<!\w)__[A-Z][A-Z_]+__(?!\w)"), (["{"], r"\{[a-z]+[A-Z]\w*\}")]
 #: Forms that may reach over a line's end (a title and its body), tested on whole texts.
-ACROSS = {FORMS["error"][0][1], FORMS["filler"][1][1]}
+ACROSS = {FORMS["error"][0][1], FORMS["error"][2][1], FORMS["filler"][1][1]}
 #: Classes whose forms a verb of work refutes.
 _REFUTABLE = {"error"}
 _WORD = re.compile(r"\w+")

@@ -205,7 +205,7 @@ def written(tree, rnd, groups):
                 out += rnd.choice([c for c in "q -" if ("LITERAL", ord(c)) not in [(str(o), a) for o, a in arg]])
             case "IN":
                 op, arg = rnd.choice(arg)
-                kinds = {"CATEGORY_WORD": "q7", "CATEGORY_DIGIT": "4", "CATEGORY_SPACE": " ", "CATEGORY_NOT_WORD": "! "}
+                kinds = {"CATEGORY_WORD": "q7", "CATEGORY_DIGIT": "4", "CATEGORY_SPACE": " ", "CATEGORY_NOT_WORD": "! ", "CATEGORY_NOT_SPACE": "q7"}
                 out += {"LITERAL": lambda: chr(arg), "RANGE": lambda: chr(rnd.randint(*arg)), "CATEGORY": lambda: rnd.choice(kinds[str(arg)])}[str(op)]()
             case "NOT_LITERAL":
                 out += rnd.choice([c for c in "q -" if ord(c) != arg])
