@@ -85,7 +85,7 @@ FORMS: dict[str, list[tuple[list[str], str]]] = {
         (["traceback", "stack trace", "exception in"], r"\btraceback \(most recent|\bstack trace:|\bexception in thread\b"), (["exception", "error"], r"\b(?:[a-z_$][\w$]*\.){2,}[\w$]*(?:exception|error)\b|\b[a-z]{2,}(?:error|exception): "), ([".java", ".kt", ".scala", ".py", ".js", ".ts", ".php", ".cs", ".rb", ".go", "native method", "unknown source", "\", line "], r"\bat (?:[\w$]+\.)+[\w$<>]+\((?:\w+\.(?:java|kt|scala|py|js|ts|php|cs|rb|go)(?::\d+)?|native method|unknown source)\)|\bfile \"[^\"]+\", line \d+"), (["fatal error", "parse error", "syntax error", "uncaught ", "sqlstate", "segmentation fault", "call to undefined", "undefined index", "undefined variable"], r"\b(?:fatal|parse|syntax) error[:,]|\buncaught \w+(?:error|exception)?\b|\bsqlstate\b|\bsegmentation fault\b|\bcall to undefined\b|\bundefined (?:index|variable)\b"),
         (["\"error", "'error", "<error"], r"[\"']error(?:s|_?code|_?message)?[\"'] ?:|<error>"), ([f"/{n}" for n in range(10)], r"^\W*[a-z][\w-]*/\d+(?:\.\d+)+\W*(?:\(\w+\))?\W*$"), (["you are human", "you are a human", "you are not a", "you're human", "you're a human", "you're not a", "your browser", "captcha", "unusual traffic", "ray id"], r"\b(?:verify|verifying|confirm|prove|check|checking)(?: that)? you(?:'re| are) (?:(?:a )?human|not a (?:robot|bot|machine))\b|\bchecking your browser\b|\bcomplete the captcha\b|\bunusual traffic\b|\bray id\b"),
         (["nicht gefunden", "verfügbar", "erreichbar", "vorhanden", "existiert", "abgelaufen", "verweigert", "gesperrt", "fehlgeschlagen", "gelöscht", "entfernt", "im aufbau"], r"\b(?:seite|stelle|anzeige|stellenanzeige|angebot|dienst|server|link|verbindung|sitzung|zugriff|datei|inhalt)\b(?:\W+[\w'-]+){0,4}?\W+(?:nicht gefunden|nicht (?:mehr )?(?:verfügbar|erreichbar|vorhanden)|existiert nicht|abgelaufen|verweigert|gesperrt|fehlgeschlagen|gelöscht|entfernt|im aufbau)\b|\bnicht mehr verfügbar\b"), (["fehler", "schief", "wartungsarbeiten", "versuchen sie es"], r"\b(?:ein|interner|unbekannter|unerwarteter)(?: \w+)? ?fehler (?:ist )?(?:aufgetreten|passiert)\b|\binterner serverfehler\b|\betwas ist schief\w*|\bwegen wartungsarbeiten\b|\bversuchen sie es (?:später|erneut)"),
-        (["introuvable", "existe", "non trouvé", "indisponible", "expiré", "refusé", "interdit", "inaccessible", "supprimé", "disponible", "en maintenance", "en construction"], r"\b(?:page|offre|annonce|service|site|lien|session|serveur|accès|connexion|contenu|poste|fichier)\b(?:\W+[\w'-]+){0,4}?\W+(?:introuvable|n'existe (?:pas|plus)|non trouvée?|indisponible|expirée?|refusée?|interdite?|inaccessible|supprimée?|n'est (?:pas|plus) (?:disponible|accessible)|en maintenance|en construction)|\btemporairement indisponible\b"), (["erreur", "réessay"], r"\bune erreur (?:\w+ )?(?:est survenue|s'est produite)\b|\berreur interne\b|\bveuillez réessayer\b|\bréessayez plus tard\b"),
+        (["introuvable", "existe", "non trouvé", "indisponible", "expiré", "refusé", "interdit", "inaccessible", "supprimé", "disponible", "accessible", "en maintenance", "en construction"], r"\b(?:page|offre|annonce|service|site|lien|session|serveur|accès|connexion|contenu|poste|fichier)\b(?:\W+[\w'-]+){0,4}?\W+(?:introuvable|n'existe (?:pas|plus)|non trouvée?|indisponible|expirée?|refusée?|interdite?|inaccessible|supprimée?|n'est (?:pas|plus) (?:disponible|accessible)|en maintenance|en construction)|\btemporairement indisponible\b"), (["erreur", "réessay"], r"\bune erreur (?:\w+ )?(?:est survenue|s'est produite)\b|\berreur interne\b|\bveuillez réessayer\b|\bréessayez plus tard\b"),
         (["خطأ"], r"حدث خطأ|خطأ (?:في الخادم|داخلي|غير متوقع|\d+ ?:)"), (["غير ", "العثور", "انتهت", "تم حذف", "تعذر", "قيد ", "مرفوض", "محظور", "لا يمكن"], r"(?:الصفحة|الوظيفة|الإعلان|الخدمة|الرابط|الجلسة|الموقع|الخادم|الطلب|الوصول)(?:\s+\S+){0,3}?\s+(?:غير (?:موجود|متاح|صحيح|متوفر)\w*|قيد (?:الصيانة|الإنشاء)|مرفوض|محظور)|لم يتم العثور على|انتهت (?:الجلسة|صلاحية)|تم حذف (?:هذا|هذه) |تعذر (?:تحميل|الوصول|عرض)|لا يمكن (?:عرض|تحميل|الوصول إلى) (?:الصفحة|هذه)"), (["حاول مرة", "المحاولة"], r"(?:حاول مرة أخرى|يرجى المحاولة)"),
     ],
     "script": [

@@ -2,10 +2,10 @@
 
 What a group's texts say in full is found by token-level consensus: the distinct values
 are aligned progressively, longest first, their tokens vote per column with the weight of
-their source, and a value is whole only if it stands closest to the consensus. Choices
-are then single aggregates over ordered structs, so a group of any size is combined
-before the shuffle and never gathered; alignments run over batches of bounded size whose
-consensuses are aligned again.
+their source, and a value is full if it stands close to the consensus from its first to
+its last token, however it ends itself. Choices are then single aggregates over ordered
+structs, so a group of any size is combined before the shuffle and never gathered;
+alignments run over batches of bounded size whose consensuses are aligned again.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def plain(text: Column) -> Column:
 
 def whole_ending(text: Column) -> Column:
     """Starts and ends as a text does: no mark of a cut, and a sentence brought to its end."""
-    return ~text.rlike(rf"(?i)^\s*(?:{ELLIPSIS})|(?:{ELLIPSIS})\s*$") & text.rlike(r"[.!?؟:;)»\"”']\s*$")
+    return ~text.rlike(rf"(?i)^\s*(?:{ELLIPSIS})|(?:{ELLIPSIS})\s*$") & text.rlike(r"[.!?؟)»\"”']\s*$")
 
 
 def token_text(text: Column) -> Column:
@@ -48,6 +48,18 @@ def token_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), rf"(?i)^\s*(?:{ELLIPSIS})|(?:{ELLIPSIS})\s*$", " "), r"[^\p{L}\p{N}]+", " "))
 
 
+def excerpt_at(tokens: list[str], whole: list[str], joined: str) -> int | None:
+    """Where a text stands as a run in a longer one; its first and last word may be cut."""
+    inner = tokens[1:-1]
+    if not inner:
+        return next((i for i in range(len(whole) - len(tokens) + 1) if whole[i : i + len(tokens)] == tokens), None)
+    at = f" {joined} ".find(f" {' '.join(inner)} ")
+    start = f" {joined} "[:at].count(" ") - 1
+    if at < 0 or start < 0 or start + len(tokens) > len(whole):
+        return None
+    return start if whole[start].endswith(tokens[0]) and whole[start + len(tokens) - 1].startswith(tokens[-1]) else None
+
+
 def consensus(texts: list[tuple[str, float]]) -> tuple[str, float]:
     """Token consensus of weighted token texts by progressive alignment, longest first.
 
@@ -65,11 +77,10 @@ def consensus(texts: list[tuple[str, float]]) -> tuple[str, float]:
         if not tokens:
             continue
         current = joined.split()
-        if f" {text} " in f" {joined} " or f" {joined}".find(f" {text}") >= 0:
-            # An excerpt: its tokens are a run of the consensus; the last one may be cut.
-            start = f" {joined}"[: f" {joined}".find(f" {text}")].count(" ")
-            for i, t in enumerate(tokens[:-1] if not f" {text} " in f" {joined} " else tokens):
-                columns[start + i][t] = columns[start + i].get(t, 0.0) + weight
+        if (start := excerpt_at(tokens, current, joined)) is not None:
+            for i, t in enumerate(tokens, start):
+                if current[i] == t:
+                    columns[i][t] += weight
             continue
         matcher = SequenceMatcher(None, current, tokens, autojunk=False)
         fresh: list[dict[str, float]] = []
@@ -110,6 +121,10 @@ def group_consensus(texts: DataFrame) -> DataFrame:
 def survivors(listings: DataFrame, groups: DataFrame, sources: DataFrame, closeness: float = 0.9) -> DataFrame:
     """(job_sk, field_name, source_record_sk): the listing whose value survives, field by field.
 
+    Which description is full the consensus of the group's texts decides; ``closeness`` is the
+    share of tokens that a full text has in common with it (0 leaves the consensus out). The
+    other fields are single values, of which trust and recency choose.
+
     A usable value goes before none, for the description a whole text before an excerpt, then
     the source more trusted in ``sources`` (unknown sources last), then the later
     ``last_seen_at``, then the greater key. 'record' uses trust and recency alone. Groups of
@@ -122,13 +137,18 @@ def survivors(listings: DataFrame, groups: DataFrame, sources: DataFrame, closen
     rows = pairs.join(fields, "source_record_sk").join(bounded_broadcast(trust), "_s", "left")
     text = plain(F.col("description_text"))
     rows = rows.select("job_sk", F.col("source_record_sk").alias("k"), F.coalesce("_p", F.lit(1 << 30)).alias("p"), "last_seen_at", text.alias("d"), usable(F.col("description_text")).alias("u_d"), (usable(F.col("salary_text")) & states_amount(F.col("salary_text"))).alias("u_s"), usable(F.col("employment_type")).alias("u_e"), F.col("posting_date").isNotNull().alias("u_p"))
-    rows = cut_table(rows.withColumn("whole", F.col("u_d") & whole_ending(F.col("d"))).withColumn("t", F.when(F.col("u_d"), token_text(F.col("d")))).drop("d"), "fields")
+    rows = cut_table(rows.withColumn("ends", F.col("u_d") & whole_ending(F.col("d"))).withColumn("t", F.when(F.col("u_d"), token_text(F.col("d")))).drop("d"), "fields")
     texts = rows.where("u_d").groupBy(F.col("job_sk").alias("g"), "t").agg(F.sum(1.0 / F.greatest(F.col("p"), F.lit(1))).alias("w"))
     agreed = group_consensus(texts)
-    # How close a whole text stands to the consensus of its group; others needn't be compared.
-    tokens = lambda c: F.array_distinct(F.split(c, " "))
-    near = rows.where("whole").select("job_sk", "t").distinct().join(agreed.withColumnRenamed("g", "job_sk"), "job_sk")
-    near = near.where(F.size(F.array_intersect(tokens(F.col("t")), tokens(F.col("consensus")))) >= closeness * F.size(F.array_union(tokens(F.col("t")), tokens(F.col("consensus"))))).select("job_sk", "t", F.lit(True).alias("full"))
+    # A text is full if it stands close to the consensus and reaches from its first to its last token;
+    # the consensus is a full text's if one of those that reach its end ends as a text does.
+    tokens = lambda c: F.split(c, " ")
+    same_end = lambda at: F.element_at(tokens(F.col("t")), at) == F.element_at(tokens(F.col("consensus")), at)
+    overlap = F.size(F.array_intersect(tokens(F.col("t")), tokens(F.col("consensus")))) >= closeness * F.size(F.array_union(tokens(F.col("t")), tokens(F.col("consensus"))))
+    compared = rows.where("u_d").groupBy("job_sk", "t").agg(F.bool_or("ends").alias("ends")).join(agreed.withColumnRenamed("g", "job_sk"), "job_sk")
+    near = compared.where(overlap & same_end(1) & same_end(-1) if closeness > 0 else F.lit(True))
+    complete = near.groupBy("job_sk").agg(F.bool_or("ends").alias("complete")).where("complete").select("job_sk")
+    near = near.join(complete, "job_sk", "left_semi").select("job_sk", "t", F.lit(True).alias("full"))
     judged = rows.join(near, ["job_sk", "t"], "left").withColumn("full", F.coalesce("full", F.lit(False)))
     key = [(-F.col("p")).alias("p"), F.col("last_seen_at").alias("at"), F.col("k").alias("k")]
     best = lambda name, flag, *first: F.max(F.when(flag, F.struct(*first, *key)))["k"].alias(name)

@@ -156,6 +156,7 @@ def test_glued_names_with_two_typos(spark):
 def test_consensus_and_survivors(spark):
     full = "acme needs a buyer for night shift you compare offers from vendors"
     assert consensus([("acme needs a buyer", 1.0), (full, 0.2), ("needs a buyer for nig", 1.0)])[0] == full
+    assert consensus([("eds a buyer for night", 5.0), (full, 0.2)])[0] == full
     many = spark.createDataFrame([("g", full[: 12 + i], 1.0) for i in range(len(full) - 11)] + [("h", "x", 1.0)], "g string, t string, w double")
     assert {r["g"]: r["consensus"] for r in group_consensus(many).collect()} == {"g": full, "h": "x"}
     listings = spark.createDataFrame(
@@ -172,6 +173,17 @@ def test_consensus_and_survivors(spark):
     assert survivors(listings.limit(0), groups, sources).count() == 0
 
 
+def test_consensus_decides_which_text_is_full(spark):
+    """An excerpt of a trusted source may end as a text does; only the consensus tells it from the full one."""
+    full = "Acme needs a buyer for night shift. You compare the offers of vendors."
+    rows = [("a", "workable", "Acme needs a buyer for night shift.", "2026-01-01"), ("b", "jooble", full, "2026-01-02"), ("c", "jooble", "...me needs a buyer for night shift. You compare the off", "2026-01-03")]
+    listings = spark.createDataFrame([(k, s, t, None, None, None, at) for k, s, t, at in rows], "source_record_sk string, source_name string, description_text string, salary_text string, employment_type string, posting_date string, last_seen_at string")
+    groups = spark.createDataFrame([("j", k) for k in "abc"], "job_sk string, source_record_sk string")
+    sources = spark.createDataFrame([("workable", 1), ("jooble", 6)], "source_name string, source_priority int")
+    chosen = lambda **how: {r[2] for r in survivors(listings, groups, sources, **how).collect() if r[1] == "description_text"}
+    assert chosen() == {"b"} and chosen(closeness=0.0) == {"a"}
+
+
 def test_residue(spark):
     bad = ["Apply to {{company_name}} now", "Position: [اسم الشركة]", "Dear %JOB_TITLE%,", "Reports to: undefined", "Lorem ipsum dolor sit amet", "blah blah blah etc.", "Join us.\nAccess denied. Reference: 1a", "404 Not Found", "Please enable JavaScript to view this page.", "Scripting must be enabled to apply", "Start: &lt;start date&gt;", "Traceback (most recent call last):", "Session timed out, reload the page.", "ok " * 9000 + "$startDate$"]
     good = ["Strong JavaScript is required; we enable JavaScript teams to ship weekly.", "You test the null hypothesis.", "[Full-time] [On-site] Grade <9> role, 9% travel, ref #9.", "Server errors must be logged; a page not found must never reach the customer.", "The budget line $9k and the C++ {fmt} library", "<p>Plain <b>markup</b></p>", "Logs keep <|endoftext|> as plain text.", "", None, "  "]
