@@ -21,11 +21,6 @@ def date_key(d: Column) -> Column:
     return F.coalesce(F.date_format(d, "yyyyMMdd").cast("int"), F.lit(-1))
 
 
-def date_to_utc(d: Column) -> Column:
-    """Midnight UTC of a day (the session runs in UTC)."""
-    return F.to_timestamp(d)
-
-
 def board_from_path(path: Column) -> Column:
     """Board of a landed file: its name without '.json' and '_jobs'."""
     return F.regexp_replace(F.split_part(path, F.lit("/"), F.lit(-1)), r"(_jobs)?\.json$", "")

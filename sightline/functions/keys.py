@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the part that stands for null in the keys of a public package.
 NULL_PART = "_dbt_utils_surrogate_key_null_"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.text import has_word
@@ -11,20 +10,27 @@ from sightline.session import bounded_broadcast
 
 
 def contains_join(df: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
-    """Baseline: every row with every dictionary word its text holds (nested loop)."""
-    return df.join(F.broadcast(words), has_word(F.col(text), F.col(word)))
+    """Baseline for tests: every row with every dictionary word its text holds (nested loop)."""
+    return df.join(bounded_broadcast(words), has_word(F.col(text), F.col(word)))
 
 
-def ngram_join(df: DataFrame, key: list[str], text: str, words: DataFrame, word: str, longest: int) -> DataFrame:
-    """The same rows by an equi join on the text's distinct n-grams of up to ``longest`` words.
+def longest_entry(words: DataFrame, word: str) -> int:
+    """Words of a dictionary's longest entry: one number, whatever its size."""
+    return words.agg(F.max(F.size(F.split(F.trim(word), r"\s+")))).first()[0] or 1
 
-    The rows' n-grams never travel: the dictionary is broadcast after a check of its size,
-    and shuffled against where it is too large. Null texts match nothing.
+
+def ngram_join(df: DataFrame, key: list[str], text: str, words: DataFrame, word: str, longest: int | None = None) -> DataFrame:
+    """The same rows by an equi join on the text's n-grams of up to ``longest`` words.
+
+    By default as many as the longest entry has. The rows' n-grams never travel: the
+    dictionary is broadcast after a check of its size, and shuffled against where it is too
+    large. Only hits are made distinct. Null texts match nothing.
     """
-    tokens = F.split(F.col(text), " ")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t"), F.lit(1))), lambda i: i + n - 1 <= F.size("_t")), lambda i: F.array_join(F.slice(F.col("_t"), i, n), " "))))
-    keyed = df.where(F.col(text).isNotNull()).withColumn("_t", tokens).withColumn("_g", F.explode(F.array_distinct(grams)))
-    return keyed.join(bounded_broadcast(words), F.col("_g") == F.col(word)).drop("_t", "_g")
+    most = longest_entry(words, word) if longest is None else longest
+    each = df.where(F.col(text).isNotNull()).withColumn("_t", F.split(F.col(text), " ")).select("*", F.posexplode("_t").alias("_i", "_w"))
+    grams = F.array_compact(F.array("_w", *[F.when(F.col("_i") + n <= F.size("_t"), F.array_join(F.slice("_t", F.col("_i") + 1, n), " ")) for n in range(2, most + 1)]))
+    keyed = each.withColumn("_g", F.explode(grams)).drop("_t", "_i", "_w")
+    return keyed.join(bounded_broadcast(words), F.col("_g") == F.col(word)).drop("_g").dropDuplicates([*key, text, word])
 
 
 def tag_by_priority(hits: DataFrame, key: list[str], priority: str, word: str, label: str) -> DataFrame:
@@ -38,27 +44,29 @@ def tag_all(hits: DataFrame, key: list[str], label: str, in_title: Column) -> Da
     return hits.groupBy(*key, label).agg(F.when(F.bool_or(in_title), "title").otherwise("description").alias("matched_in"))
 
 
-def resolve_place(rows: DataFrame, key: str, field: str, text: str, places: DataFrame, longest: int = 4) -> DataFrame:
+def resolve_place(rows: DataFrame, key: str, field: str, text: str, places: DataFrame, longest: int | None = None) -> DataFrame:
     """City, region and level of each row from a place dictionary (alias, city_std, region_std).
 
     The city field goes before free text; a hit inside a longer hit of the same row and flag is
     dropped; several cities give no city, and a region only if they share it. Rows without a
-    hit are on country level. Ties by position, longer alias, alias.
+    hit are on country level. Ties by position, longer alias, alias. Each distinct pair of
+    field and text is resolved once; its hits, no more than its words begin aliases, are
+    decided within one aggregate.
     """
-    from_field = ngram_join(rows.select(key, F.col(field).alias("_x")), [key], "_x", places, "alias", longest).withColumn("in_field", F.lit(True))
-    from_text = ngram_join(rows.select(key, F.col(text).alias("_x")), [key], "_x", places, "alias", longest).withColumn("in_field", F.lit(False))
-    both = from_field.unionByName(from_text)
-    w = W.partitionBy(key)
-    both = both.withColumn("_any", F.bool_or("in_field").over(w)).where(F.col("in_field") == F.col("_any"))
-    both = both.withColumn("_at", F.expr("position(concat(' ', alias, ' '), concat(' ', _x, ' '))")).withColumn("_to", F.col("_at") + F.length("alias"))
-    longer = both.select(F.col(key).alias("_k"), F.col("_at").alias("_a"), F.col("_to").alias("_b"), F.length("alias").alias("_l"))
-    kept = both.join(longer, (F.col(key) == F.col("_k")) & (F.col("_a") <= F.col("_at")) & (F.col("_b") >= F.col("_to")) & (F.col("_l") > F.length("alias")), "left_anti")
-    found = kept.groupBy(key).agg(
-        F.countDistinct("city_std").alias("cities"), F.countDistinct("region_std").alias("regions"), F.min("region_std").alias("shared"),
-        F.min(F.struct(F.col("city_std").isNull().alias("n"), F.col("_at").alias("a"), (-F.length("alias")).alias("l"), F.col("alias").alias("w"), F.col("city_std").alias("city"), F.col("region_std").alias("region"))).alias("best"),
-    )
+    pairs = rows.select(F.col(field).alias("_f"), F.col(text).alias("_x")).distinct().where("_f is not null or _x is not null")
+    laid = pairs.select("_f", "_x", F.inline(F.array(F.struct(F.lit(True).alias("n"), F.col("_f").alias("v")), F.struct(F.lit(False).alias("n"), F.col("_x").alias("v")))))
+    hits = ngram_join(laid, ["_f", "_x", "n"], "v", places, "alias", longest)
+    hits = hits.withColumn("at", F.expr("position(concat(' ', alias, ' '), concat(' ', v, ' '))")).withColumn("to", F.col("at") + F.length("alias"))
+    kept = hits.groupBy("_f", "_x").agg(F.collect_list(F.struct("n", "at", "to", "alias", "city_std", "region_std")).alias("h"))
+    kept = kept.withColumn("h", F.filter("h", lambda a: a["n"] == F.exists("h", lambda b: b["n"])))
+    inside = lambda a: F.exists("h", lambda b: (b["at"] <= a["at"]) & (b["to"] >= a["to"]) & (F.length(b["alias"]) > F.length(a["alias"])))
+    kept = kept.withColumn("h", F.filter("h", lambda a: ~inside(a)))
+    each = lambda c: F.array_distinct(F.array_compact(F.transform("h", lambda a: a[c])))
+    first = F.array_min(F.transform("h", lambda a: F.struct(a["city_std"].isNull().alias("n"), a["at"].alias("a"), (-F.length(a["alias"])).alias("l"), a["alias"].alias("w"), a["city_std"].alias("city"), a["region_std"].alias("region"))))
+    kept = kept.select("_f", "_x", F.size(each("city_std")).alias("cities"), each("region_std").alias("regions"), first.alias("best"))
     city = F.when(F.col("cities") <= 1, F.col("best.city"))
-    region = F.when(F.col("cities") <= 1, F.col("best.region")).when(F.col("regions") == 1, F.col("shared"))
-    found = found.select(key, city.alias("city"), region.alias("region"), F.col("cities").alias("cities_named"))
+    region = F.when(F.col("cities") <= 1, F.col("best.region")).when(F.size("regions") == 1, F.get("regions", F.lit(0)))
+    found = kept.select("_f", "_x", city.alias("city"), region.alias("region"), F.col("cities").cast("long").alias("cities_named"))
     level = F.when(F.col("city").isNotNull(), "city").when(F.col("region").isNotNull(), "region").otherwise("country")
-    return rows.select(key).join(found, key, "left").withColumn("location_level", level).withColumn("cities_named", F.coalesce("cities_named", F.lit(0)))
+    out = rows.select(key, F.col(field).alias("_rf"), F.col(text).alias("_rx")).join(found, F.col("_rf").eqNullSafe(F.col("_f")) & F.col("_rx").eqNullSafe(F.col("_x")), "left")
+    return out.select(key, "city", "region", F.coalesce("cities_named", F.lit(0)).alias("cities_named"), level.alias("location_level"))

@@ -44,11 +44,6 @@ def relationships(df: DataFrame, column: str, parent: DataFrame, key: str) -> Da
     return df.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias("_key")), F.col(column) == F.col("_key"), "left_anti")
 
 
-def expression_is_true(df: DataFrame, test: Column) -> DataFrame:
-    """Rows for which the test is false; unknown passes, as in SQL checks."""
-    return df.where(~test)
-
-
 def one_unknown_member(dim: DataFrame, key: str, member: str = "-1") -> DataFrame:
     return dim.agg(F.count_if(F.col(key).cast("string") == member).alias("members")).where("members <> 1")
 

@@ -28,11 +28,6 @@ def explode_array(df: DataFrame, v: str, path: str = "$", outer: bool = False) -
     return df.select(*kept, (F.posexplode_outer if outer else F.posexplode)(items).alias("pos", "item"))
 
 
-def unwrap(df: DataFrame, raw: str, status: str = "$.http_status", body: str = "$.response_raw") -> DataFrame:
-    """Body of an envelope whose request succeeded, parsed a second time; the status goes first."""
-    return df.where(at(F.col(raw), status, "int") == 200).withColumn("body", F.try_parse_json(at(F.col(raw), body)))
-
-
 def pivot_names(df: DataFrame, by: list[str], name: str, value: str, wanted: dict[str, str]) -> DataFrame:
     """Name-value rows to columns: ``wanted`` maps a name to its column."""
     return df.groupBy(*by).agg(*[F.max(F.when(F.col(name) == n, F.col(value))).alias(c) for n, c in wanted.items()])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sightline.functions.writing import ascii_digits, plain_spaces
-from sightline.session import bounded_broadcast, spread
+from sightline.session import bounded_broadcast, small_list, spread
 
 # Writings of the currencies (roots).
 ROOTS = {
@@ -170,8 +170,9 @@ def parse_quantity(text: str | None, rates: Mapping[str, float], factors: Mappin
     """(lowest, highest, root, period) of a text; amounts as decimal strings, None where not stated.
 
     ``text`` is lower case with ASCII digits and single blanks. Scales of the last amount hold
-    for the first where it has none and the order of the amounts stays. Null, blank and
-    texts without amounts give None; a text of any length is read whole.
+    for those before it where they have none and the order of the amounts stays. All amounts
+    count, however many. Null, blank and texts without amounts give None; a text of any
+    length is read whole.
     """
     if not text:
         return None, None, None, None
@@ -188,7 +189,6 @@ def parse_quantity(text: str | None, rates: Mapping[str, float], factors: Mappin
             at += 1
         elif kind == "unknown" and value == "#":
             at += 1
-    amounts = amounts[:2]
     if not amounts:
         return None, None, root, period
     per_month = (rates.get(root or "SAR", 1.0) * factors.get(period or "month", 12.0)) / 12
@@ -198,10 +198,10 @@ def parse_quantity(text: str | None, rates: Mapping[str, float], factors: Mappin
         pay = lambda v, s=scale: abs(math.log(max(float(v) * s * per_month, 1e-9)) - PAY_CENTRE) / PAY_SPREAD
         values.append(min(options, key=pay))
     scales = [s for _, s in amounts]
-    if len(values) == 2 and scales[0] == 1 and scales[1] != 1 and values[0] <= values[1]:
-        scales[0] = scales[1]
+    if len(values) > 1 and scales[-1] != 1:
+        scales = [scales[-1] if s == 1 and v <= values[-1] else s for v, s in zip(values, scales)]
     stated = [v * s for v, s in zip(values, scales)]
-    low, high = (stated[0], stated[-1]) if stated[0] <= stated[-1] else (stated[-1], stated[0])
+    low, high = min(stated), max(stated)
     return format(low, "f"), format(high, "f"), root, period
 
 
@@ -228,8 +228,8 @@ def to_common_unit(df: DataFrame, key: list[str], text: str, root: str, period:
     amounts count only where the text has none. Incomplete rows give no row; ties and
     repeated rows collapse; an empty table gives an empty one.
     """
-    fixed_rates = {r[0]: float(r[1]) for r in rates.select("currency", "sar_per_unit").limit(1000).collect()}
-    fixed_factors = {r[0]: float(r[1]) for r in factors.select("salary_period", "periods_per_year").limit(1000).collect()}
+    fixed_rates = {r[0]: float(r[1]) for r in small_list(rates.select("currency", "sar_per_unit"), 1000, "the table of rates")}
+    fixed_factors = {r[0]: float(r[1]) for r in small_list(factors.select("salary_period", "periods_per_year"), 1000, "the table of periods")}
     q = lambda c: quantity(F.col(c), fixed_rates, fixed_factors)
     fields = df.select(*key, F.col(text).alias("_text"), F.col(root).alias("_root"), F.col(period).alias("_period"), F.nanvl(F.col(low), F.lit(None)).cast("decimal(18,4)").alias("_low"), F.nanvl(F.col(high), F.lit(None)).cast("decimal(18,4)").alias("_high"))
     read = spread(fields).withColumn("_q", q("_text"))

@@ -31,9 +31,31 @@ def latest_snapshot(df: DataFrame, key: list[str], order: list[Column], seen: st
     return qualify_first(out, key, order)
 
 
-def count_distinct_over(column: str, by: list[str]) -> Column:
-    """count(distinct x) over (partition by ...), nulls not counted."""
-    return F.size(F.collect_set(column).over(W.partitionBy(*by)))
+def count_distinct_over(df: DataFrame, column: str, by: list[str], name: str) -> DataFrame:
+    """Adds count(distinct x) over (partition by ...), nulls not counted.
+
+    Counted in two aggregates and joined back, so that no partition's values sit in one
+    buffer; null keys are a partition.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    counts = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(F.countDistinct(column).alias(name))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
+    return df.join(counts, same).drop(*keys)
+
+
+def exact_median(df: DataFrame, by: list[str], value: str, name: str = "middle") -> DataFrame:
+    """Median per key, interpolated, nulls left out, from counts of equal values.
+
+    Equal values are counted before the shuffle, and a key's running total needs its sorted
+    counts only; a key without values has no row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(*by)
+    ranked = counts.withColumn("_to", F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
+    holds = lambda at: (F.col("_to") >= at) & (F.col("_to") - F.col("_n") < at)
+    middle = (F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2
+    return ranked.groupBy(*by).agg(middle.alias(name))
 
 
 def share_within(value: Column, by: list[str]) -> Column:

@@ -98,8 +98,8 @@ def freshness_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, user_id, event_id, (select count(distinct value) from events x where x.event_type = e.event_type and x.user_id = e.user_id) as values_seen from events e")
 def count_distinct_over(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events")
-    return rows.select("event_type", "user_id", "event_id", windows.count_distinct_over("value", ["event_type", "user_id"]).cast("long").alias("values_seen"))
+    rows = table(spark, d, "events").select("event_type", "user_id", "event_id", "value")
+    return windows.count_distinct_over(rows, "value", ["event_type", "user_id"], "values_seen").drop("value")
 
 
 @query("select lang, doc_id from documents where text is not null qualify row_number() over (partition by lang order by md5(doc_id::varchar), doc_id) <= 5")
@@ -259,7 +259,7 @@ def keyword_category(spark: SparkSession, d: str) -> DataFrame:
 @query(_CATEGORY)
 def keyword_category_ngram(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "int_job_listings").select("source_record_sk", "title_norm").distinct()
-    return dictionary.tag_by_priority(dictionary.ngram_join(rows, ["source_record_sk"], "title_norm", _words(spark), "word", 2), ["source_record_sk"], "priority", "word", "category")
+    return dictionary.tag_by_priority(dictionary.ngram_join(rows, ["source_record_sk"], "title_norm", _words(spark), "word"), ["source_record_sk"], "priority", "word", "category")
 
 
 _SKILLS = f"""with l as (select source_record_sk, any_value(title_norm) t, any_value({_NORM.format('description_text')}) x from int_job_listings group by 1),
@@ -270,7 +270,7 @@ def _skill_hits(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "int_job_listings").groupBy("source_record_sk").agg(F.first("title_norm", True).alias("t"), F.first("description_text", True).alias("x"))
     known = _words(spark).where("category is not null")
     both = [rows.select("source_record_sk", c.alias("v"), F.lit(k).alias("in_title")) for k, c in ((True, F.col("t")), (False, text.normalize_text(F.col("x"))))]
-    return dictionary.ngram_join(both[0].unionByName(both[1]), ["source_record_sk"], "v", known, "word", 2)
+    return dictionary.ngram_join(both[0].unionByName(both[1]), ["source_record_sk"], "v", known, "word")
 
 
 @query(_SKILLS + " select source_record_sk, category, case when in_title then 'title' else 'description' end as matched_in from h")
@@ -365,8 +365,9 @@ def one_representative(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select user_id, string_agg(distinct event_type, ', ' order by event_type) as kinds, count(*) filter (value > 50) as large, count(distinct case when value > 50 then event_type end) as large_kinds, bool_or(value > 99) as any_top, median(value) as middle from events group by 1")
 def aggregate_toolbox(spark: SparkSession, d: str) -> DataFrame:
-    big = F.col("value") > 50
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("kinds"), F.count_if(big).alias("large"), F.countDistinct(F.when(big, F.col("event_type"))).alias("large_kinds"), F.bool_or(F.col("value") > 99).alias("any_top"), F.median("value").alias("middle"))
+    big, rows = F.col("value") > 50, table(spark, d, "events")
+    per = rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("kinds"), F.count_if(big).alias("large"), F.countDistinct(F.when(big, F.col("event_type"))).alias("large_kinds"), F.bool_or(F.col("value") > 99).alias("any_top"))
+    return per.join(windows.exact_median(rows, ["user_id"], "value"), "user_id", "left")
 
 
 @query("select coalesce(source_name, 'TOTAL') as source_name, count(*) as copies, count(distinct source_job_id) as postings from board_snapshots group by rollup (source_name)")
@@ -441,7 +442,9 @@ def min_base_suppression(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select (o_orderdate::date - (dayofweek(o_orderdate) * interval 1 day))::date as week_start, median(o_totalprice) as middle, count(*) as orders from orders group by 1""")
 def median_by_week(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(dates.week_start(F.to_date("o_orderdate")).alias("week_start")).agg(F.median("o_totalprice").alias("middle"), F.count(F.lit(1)).alias("orders"))
+    rows = table(spark, d, "orders").select(dates.week_start(F.to_date("o_orderdate")).alias("week_start"), "o_totalprice")
+    counts = rows.groupBy("week_start").agg(F.count(F.lit(1)).alias("orders"))
+    return counts.join(windows.exact_median(rows, ["week_start"], "o_totalprice"), "week_start", "left")
 
 
 @query("""with c as (select n_regionkey, n_name, count(*) as customers from customer join nation on c_nationkey = n_nationkey group by all) select *, round(100.0 * customers / sum(customers) over (partition by n_regionkey), 1) as pct_of_region from c""")

@@ -16,15 +16,6 @@ def share(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(F.try_divide(100.0 * part, whole), digits)
 
 
-def known_share(value: Column, known: Column, digits: int = 1) -> Column:
-    return share(total(value, known), total(value), digits)
-
-
-def suppressed(value: Column, base: Column, least: int) -> Column:
-    """The value where its base is large enough, else null."""
-    return F.when(base >= least, value)
-
-
 def concentration(df: DataFrame, member: str, value: str, n: int) -> DataFrame:
     """Share of the n largest members in the whole; ties at the border are kept."""
     per = df.groupBy(member).agg(F.sum(value).alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def with_unknown(dim: DataFrame, values: dict[str, object]) -> DataFrame:
     return dim.unionByName(row)
 
 
-def dimension(df: DataFrame, key: str, parts: list[str], attributes: list[str], order: list[Column] | None = None) -> DataFrame:
+def dimension(df: DataFrame, key: str, parts: list[str], attributes: list[str]) -> DataFrame:
     """Distinct members with a hashed key; of several rows per key the least attributes win (Type 1)."""
     keyed = df.withColumn(key, surrogate_key(*map(F.col, parts)))
     return keyed.groupBy(key).agg(F.min(F.struct(*[F.col(a) for a in attributes])).alias("_a")).select(key, *[F.col(f"_a.{a}").alias(a) for a in attributes])
@@ -27,8 +29,10 @@ def junk_dimension(df: DataFrame, key: str, flags: list[str]) -> DataFrame:
 
 
 def date_dimension(spark: SparkSession, first: str, last: str, most: int = 10_000) -> DataFrame:
-    """Days from first to last (at most ``most``), with the Unknown member -1."""
-    days = spark.sql(f"select explode(sequence(date'{first}', least(date'{last}', date_add(date'{first}', {most - 1})), interval 1 day)) as full_date")
+    """Days from first to last, with the Unknown member -1; a span of more than ``most`` days is an error."""
+    if (date.fromisoformat(last) - date.fromisoformat(first)).days >= most:
+        raise ValueError(f"{first} to {last} is more than {most} days")
+    days = spark.sql(f"select explode(sequence(date'{first}', date'{last}', interval 1 day)) as full_date")
     d = F.col("full_date")
     dim = days.select(date_key(d).alias("date_sk"), "full_date", F.date_format(d, "EEEE").alias("day_of_week"), week_start(d).alias("week_start_date"), F.month(d).alias("month"), F.quarter(d).alias("quarter"), F.year(d).alias("year"), (F.weekday(d) + 1).isin(5, 6).alias("is_weekend"))
     return with_unknown(dim, {"date_sk": -1, "is_weekend": False})

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(app: str = "sightline", cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Local session with the settings the engine expects (UTC, ANSI, AQE)."""
-    return (
-        SparkSession.builder.master(f"local[{cpus}]")
+def build_session(app: str = "sightline", cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g", master: str | None = None, shared: str | None = None) -> SparkSession:
+    """Session with the settings the engine expects (UTC, ANSI, AQE).
+
+    ``shared`` is the folder that all executors see. Outside local mode it is required, unless
+    the cluster's configuration already names ``spark.checkpoint.dir``.
+    """
+    master = master or f"local[{cpus}]"
+    builder = SparkSession.builder.master(master)
+    if shared or master.startswith("local["):
+        builder = builder.config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="sightline-"))
+    session = (
+        builder
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -25,36 +35,62 @@ def build_session(app: str = "sightline", cpus: str | int = "*", shuffle_partiti
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    shared_dir(session)
+    return session
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), f"sightline-{spark.sparkContext.applicationId}")
-    return folder
+    """The folder all executors share, as the session names it.
 
+    A session in local mode that names none gets a private folder (its executor is the driver);
+    anywhere else a missing setting is an error, never a folder of one machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), f"sightline-{spark.sparkContext.applicationId}")
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame that is read more than once; survives the loss of executors.
 
-    Uses a reliable checkpoint in the shared folder, so the lineage is cut and a lost
-    executor costs a read, not a recomputation.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def cut_table(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Like :func:`cut`, but as a compressed Parquet table: less disk, columns stay prunable."""
+    """Materialise a frame that is read more than once, as a Parquet table in the shared folder.
+
+    The lineage is cut, so a lost executor costs a read, not a recomputation; columns stay
+    prunable. The table is deleted when the application ends, or by :func:`drop_tables`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = []
+        atexit.register(drop_tables, spark)
+    _WRITTEN[app].append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that :func:`cut_table` wrote for this application; results that read them must be written before."""
+    if spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def small_list(df: DataFrame, most: int, what: str) -> list[Row]:
+    """The rows of a reference list on the driver; one of more than ``most`` rows is an error, never cut."""
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"{what} has more than {most} rows; raise the bound or join it as a table")
+    return rows
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Broadcast hint only after the row count is proven to be within the bound.
 
