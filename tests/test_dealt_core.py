@@ -129,6 +129,10 @@ def test_snapshot_changes_match_brute_force(spark):
     assert got == brute(rows, {(b, d) for b, d, ok in tries if ok and d})
     assert snapshot_changes(df.limit(0), cal, *args).count() == 0
     # Tables far too small: buckets grow, then fall to the direct way, with the same result.
-    elements = spark.createDataFrame([(1, 0, s, k, s * k % 3) for s in (1, -1) for k in range(300)], "pair long, bucket int, sign int, k long, v long")
-    found = {tuple(r) for r in snapshots.differences(elements, per_bucket_cells=3, grow=2, rounds=2).collect()}
+    elements = spark.createDataFrame([(1, 0, 0, s, k, s * k % 3) for s in (1, -1) for k in range(300)], "pair long, part int, bucket int, sign int, k long, v long")
+    some = lambda only: elements if only is None else elements.join(only, ["pair", "part", "bucket"], "left_semi")
+    found = {tuple(r) for r in snapshots.differences(some, ["part"], per_bucket_cells=3, grow=2, rounds=2).collect()}
     assert found == {(1, s, k, s * k % 3) for s in (1, -1) for k in range(300) if k % 3}
+    # The same from rows: buckets that hold all, tables that must grow.
+    hard = {(r["board"], r["id"], str(r["snapshot_day"]), r["change_type"]) for r in snapshot_changes(df, cal, *args, per_bucket=10_000, per_part=150).collect()}
+    assert hard == got
