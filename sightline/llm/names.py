@@ -1,30 +1,34 @@
 """Variant spellings of names typed by people, resolved by merge and rematch.
 
 A profile unites what is known of an organisation: the spellings of its distinctive
-name, the words of its line of business, its initials. Names are merged into the profile
-they match; the merged records' spellings then belong to the profile, which enters
-blocking again (over deletion keys of the new spellings), until a round merges nothing.
-A name matches a profile if its distinctive word does and the rest of it is the line of
-business, spelled out, abbreviated or left out; another line of business is another
-organisation.
+name, the words of its line of business, its initials. Profiles begin with the spellings of
+the reference list, to which names are merged that agree letter for letter (folded across
+scripts). What is left enters blocking over deletion keys of the profiles' spellings and is
+merged into the profile it matches; the merged records' spellings and initials then belong
+to the profile, which enters blocking again, until a round merges nothing. A name matches a
+profile if its distinctive word does and the rest of it is the line of business, spelled
+out, abbreviated or left out; another line of business is another organisation.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.spelling import LongVocabulary, Vocabulary, allowed, deletions, distance, fold, forms, is_arabic, words
-from sightline.session import cut_table
+from sightline.session import bounded_broadcast, cut_table, small_list
 
 # Legal forms and the remarks that feeds put beside a name.
 LEGAL = {"ltd", "limited", "co", "company", "llc", "wll", "est", "establishment", "inc", "incorporated", "corp", "corporation", "group", "holding", "gmbh", "plc", "شركة", "شركه", "مجموعة", "مجموعه", "مؤسسة", "مؤسسه", "المحدودة", "المحدوده"}
 REMARKS = {"careers", "career", "jobs", "job", "hiring", "page", "branch", "office", "main", "head", "hq", "eastern", "western", "northern", "southern", "central", "ksa", "saudi", "arabia", "at", "the", "and", "وظائف", "فرع", "السعودية", "الرياض", "جدة"}
 ARTICLES = {"al", "el", "a1", "ال"}
+#: Stands before initials where they are compared among spellings.
+MARK = "="
 _DOTTED = re.compile(r"\b(l\.?\s?l\.?\s?c|w\.?\s?l\.?\s?l)\b\.?", re.I)
 _TITLE = re.compile(r"\bm/s\b\.?", re.I)
 _INITIALS = re.compile(r"(?<![\w.])(?:[A-Z]\.){2,5}(?!\w)|(?<![\w.])[A-Z]{2,5}(?![\w.])")
@@ -42,6 +46,19 @@ def core(name: str) -> list[str]:
     return [w[2:] if is_arabic(w) and w.startswith("ال") and len(w) > 5 else w for w in kept]
 
 
+def initials_of(name: str) -> str | None:
+    """The initials of a name written out, its article counted as people do; None for abbreviated ones."""
+    w = [x for x in words(bare(name)) if x not in LEGAL and x not in REMARKS and not x.isdigit() and x != "and"]
+    spelled = len(w) > 1 and not is_arabic(name) and all(len(x) > 3 or x in ARTICLES for x in w)
+    return "".join(x[0] for x in w) if spelled and len(w) <= 5 else None
+
+
+def as_initials(name: str) -> str | None:
+    """The letters of a name that consists of initials alone."""
+    letters = "".join(core(name))
+    return letters if 2 <= len(letters) <= 5 and any(letters == x.replace(".", "").lower() for x in _INITIALS.findall(bare(name))) else None
+
+
 def abbreviates(short: str, word: str) -> bool:
     """Same first letter, fewer letters, all of them in order in the word (svcs, mgmt, edu)."""
     if len(short) < 2 or len(short) >= len(word) or short[0] != word[0]:
@@ -50,6 +67,11 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in at for c in short)
 
 
+def bared(word: str) -> str:
+    """A word without an article that is glued to it."""
+    return word[2:] if word.startswith("al") and len(word) > 6 else word
+
+
 class Profiles:
     """What is known of every organisation of a reference list (of fixed size)."""
 
@@ -87,6 +109,9 @@ class Profiles:
         for std, w in self.standard.items():
             if len(w) > 1:
                 self.initials.setdefault("".join(x[0] for x in w), set()).add(std)
+        self.trade_words: dict[str, set[str]] = {}
+        for x in {x for b in self.business.values() for x in b}:
+            self.trade_words.setdefault(x[0], set()).add(x)
         self.memo: dict[tuple[bool, str], list[tuple[str, float]]] = {}
 
     def _near(self, is_name: bool, word: str) -> list[tuple[str, float]]:
@@ -107,7 +132,7 @@ class Profiles:
 
     def is_trade(self, word: str) -> bool:
         """Whether a word belongs to some line of business."""
-        return bool(self.near_trade(word)) or any(abbreviates(word, x) for b in self.business.values() for x in b)
+        return bool(self.near_trade(word)) or any(abbreviates(word, x) for x in self.trade_words.get(word[0], ()))
 
     def agrees(self, rest: list[str], std: str) -> float:
         """Share of the line's words that the rest of a name states; -1 if it states something else."""
@@ -150,114 +175,156 @@ class Profiles:
                     return two
         return [rest]
 
-    def match(self, name: str) -> tuple[str, list[str], list[str]]:
-        """(state, organisations, words): state is 'one', 'open' (several fit), or 'none'."""
+    def same_name(self, word: str) -> list[tuple[str, float]]:
+        """The listed names of which a word is a spelling letter for letter, folded."""
+        return sorted({(n, 1.0) for form in forms(word) for n in self.names.names.get(form, ())})
+
+    def glued(self, word: str) -> list[str]:
+        """The organisations whose run-together name stands within two edits of a long word."""
+        return sorted({s for n, _ in self.run_words.near(word) for s in self.runs.get(n, ())}) if len(word) >= 9 else []
+
+    def spellings(self) -> list[tuple[str, str]]:
+        """(spelling, organisation): what profiles know before any merge."""
+        return sorted({(x, std) for x in self.names.names for n in self.names.names[x] for std in self.first.get(n, ())})
+
+    def match(self, name: str, exact: bool = False) -> tuple[str, list[str], list[str]]:
+        """(state, organisations, words): state is 'one', 'open' (several fit), or 'none'.
+
+        ``exact`` takes distinctive words letter for letter; else they may carry typos.
+        """
         w = core(name)
         if not w:
             return "none", [], []
-        letters = "".join(w)
-        if len(letters) <= 5 and any(letters == x.replace(".", "").lower() for x in _INITIALS.findall(bare(name))) and letters in self.initials:
+        if (letters := as_initials(name)) and letters in self.initials:
             found = sorted(self.initials[letters])
             return ("one" if len(found) == 1 else "open"), found, w
-        if len(w) == 1 and len(w[0]) >= 9:
-            run = {s for n, _ in self.run_words.near(w[0]) for s in self.runs.get(n, ())}
-            if run:
-                return ("one" if len(run) == 1 else "open"), sorted(run), w
+        if len(w) == 1 and not exact and (run := self.glued(w[0])):
+            return ("one" if len(run) == 1 else "open"), run, w
         if len(w) == 1:
             w = self.opened(w[0])
+        near = self.same_name if exact else self.near_name
+        state, best = self.decide(w, {x: [(std, sim) for n, sim in {*near(x), *near(bared(x))} for std in self.first.get(n, ())] for x in w})
+        return state, best, w
+
+    def decide(self, w: list[str], near: dict[str, list[tuple[str, float]]], least: float = 0.0) -> tuple[str, list[str]]:
+        """(state, organisations) of a name's words, of which ``near`` are (organisation, similarity) of each."""
         fits: dict[str, tuple[float, float]] = {}
         for i, x in enumerate(w):
-            rest = w[:i] + w[i + 1 :]
-            plain = x[2:] if x.startswith("al") and len(x) > 6 else x
-            for n, sim in {*self.near_name(x), *self.near_name(plain)}:
-                for std in self.first.get(n, ()):
-                    share = self.agrees(rest, std)
-                    if share >= 0:
-                        fits[std] = max(fits.get(std, (0.0, 0.0)), (sim, share))
+            for std, sim in near.get(x, ()):
+                share = 1.0 if x[0] == MARK else self.agrees(w[:i] + w[i + 1 :], std)
+                if share >= least:
+                    fits[std] = max(fits.get(std, (0.0, 0.0)), (sim, share))
         if not fits:
-            return "none", [], w
+            return "none", []
         top = max(fits.values())
         best = sorted(s for s, v in fits.items() if v[0] == top[0] and (v[1] > 0) == (top[1] > 0))
-        return ("one" if len(best) == 1 else "open"), best, w
+        return ("one" if len(best) == 1 else "open"), best
 
 
-def resolve_names(df: DataFrame, key: str, name: str, aliases: DataFrame, text: str | None = None, unknown: str = "Unknown", most: int = 100_000) -> DataFrame:
+def resolve_names(df: DataFrame, key: str, name: str, aliases: DataFrame, text: str | None = None, unknown: str = "Unknown", most: int = 100_000, rematch: bool = True) -> DataFrame:
     """(key, company_std) of each row whose name means a listed organisation under another spelling.
 
     Names equal to an alias or standard letter for letter have no row, nor have null, blank
     and stand-in names (those whose standard is ``unknown``) and names of unlisted
     organisations. ``aliases`` (alias, company_std) is a reference list of at most ``most``
-    rows. Where initials or a bare name fit several organisations, a mention of one of them
-    in ``text`` decides, else nothing is claimed. Work is done once per distinct name, so a
-    name that a third of all rows carry is one row until the last join. Repeated rows give
-    one row.
+    rows; a longer one is an error. Where initials or a bare name fit several organisations, a
+    mention of one of them in ``text`` decides, else nothing is claimed. Work is done once per
+    distinct name, so a name that a third of all rows carry is one row until the last join.
+    Repeated rows give one row. ``rematch`` off leaves the profiles as the list has them.
     """
+    spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    listed = [(r["alias"], r["company_std"]) for r in aliases.select("alias", "company_std").limit(most).collect() if r["alias"] and r["company_std"]]
+    listed = [(r["alias"], r["company_std"]) for r in small_list(aliases.select("alias", "company_std"), most, "the list of names") if r["alias"] and r["company_std"]]
     profiles = Profiles([x for x in listed if x[1] != unknown])
-    letters = sorted({x for pair in listed for x in pair})
     stand_ins = {" ".join(words(a)) for a, s in listed if s == unknown}
+    letters = spark.createDataFrame([(x,) for x in sorted({x for pair in listed for x in pair})] or [("",)], "n string")
 
     def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            rows = []
             for n in b["n"]:
-                state, found, w = ("none", [], []) if " ".join(words(n)) in stand_ins else profiles.match(n)
-                own = [x for x in w if x and not profiles.is_trade(x)]
-                out.append((n, state, found, w, own))
-            yield pd.DataFrame(out, columns=["n", "state", "found", "words", "own"])
-
-    exact = F.col("n").isin(letters) if len(letters) <= 200 else None
-    names = df.select(F.col(name).alias("n")).where(F.length(F.trim("n")) > 0).groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
-    if exact is not None:
-        names = names.where(~exact)
-    else:
-        names = names.join(df.sparkSession.createDataFrame([(x,) for x in letters], "n string"), "n", "left_anti")
-    # Names are few bytes and much work: spread by number, or AQE would leave them to a task or two.
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done = cut_table(names.select("n").repartition(spread, "n").mapInPandas(first_round, "n string, state string, found array<string>, words array<string>, own array<string>"), "names")
-    merged = done.where("state = 'one'").select("n", F.col("found")[0].alias("company_std"), "own")
-    results, fresh, left = [merged.select("n", "company_std")], merged, done.where("state = 'none' and size(own) = 1 and size(words) > 1").select("n", "words", F.col("own")[0].alias("w"))
+                state, found, w = ("none", [], []) if " ".join(words(n)) in stand_ins else profiles.match(n, exact=True)
+                w = [MARK + x] if state == "none" and w and (x := as_initials(n)) else w
+                rows.append((n, state, found, w, [MARK + x] if state == "one" and (x := initials_of(n)) else []))
+            yield pd.DataFrame(rows, columns=["n", "state", "found", "words", "own"])
+
+    def glued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [profiles.glued(w[0]) for w in b["words"]]
+            yield pd.DataFrame({"n": b["n"], "state": ["none" if not f else "one" if len(f) == 1 else "open" for f in found], "found": found, "words": b["words"], "own": [[] for _ in found]})
 
     def keyed(column: str, with_company: bool):  # noqa: ANN202
         def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                rows = [(k, *r) for r in b.itertuples(index=False) for f in forms(r[0]) for k in deletions(f)]
+                keys = lambda w: {w} if w[:1] == MARK else {k for x in (w, bared(w)) for f in forms(x) for k in deletions(f, allowed(f))}
+                rows = [(k, *r) for r in b.itertuples(index=False) for k in keys(r[0])]
                 yield pd.DataFrame(rows, columns=["k", column, "company_std"] if with_company else ["k", column]).drop_duplicates()
 
         return keys
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [min(distance(x, y, 1) for x in forms(w) for y in forms(v)) <= 1 and min(len(w), len(v)) >= 5 for w, v in zip(b["w"], b["v"])]
-            yield b.loc[ok, ["w", "company_std"]].drop_duplicates()
-
-    def agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for n, ws, w, found in zip(b["n"], b["words"], b["w"], b["found"]):
-                rest = [x for x in ws if x != w]
-                fit = [s for s in sorted(found) if profiles.agrees(rest, s) >= 0.5]
-                rows.append((n, fit[0] if len(fit) == 1 else None, [w]))
-            yield pd.DataFrame(rows, columns=["n", "company_std", "own"])
-
-    while True:
-        # Only spellings that the last round added enter blocking again.
-        spellings = fresh.select(F.explode("own").alias("v"), "company_std").distinct()
-        spelled = spellings.mapInPandas(keyed("v", True), "k string, v string, company_std string")
-        asked = left.select("w").distinct().mapInPandas(keyed("w", False), "k string, w string")
-        pairs = asked.join(spelled, "k").select("w", "v", "company_std").distinct().mapInPandas(verified, "w string, company_std string").distinct()
-        offers = left.join(pairs.groupBy("w").agg(F.collect_set("company_std").alias("found")), "w").select("n", "words", "w", "found")
-        fresh = cut_table(offers.mapInPandas(agreeing, "n string, company_std string, own array<string>").where("company_std is not null"), "merged")
-        if fresh.isEmpty():
+            for w, v, s in zip(b["w"], b["v"], b["company_std"]):
+                if w[:1] == MARK:
+                    rows.append((w, s, 0.0, 1.0))
+                    continue
+                best = max((1 - d / max(len(x), len(y)) if (d := distance(x, y, most)) <= most else -1.0, -d) for a in {w, bared(w)} for x in forms(a) for y in forms(v) for most in (min(allowed(x), allowed(y)),))
+                rows.append((w, s, float(-best[1]), best[0]))
+            out = pd.DataFrame(rows, columns=["w", "company_std", "d", "sim"])
+            yield out[out["sim"] >= 0]
+
+    def deciding(least: float):  # noqa: ANN202
+        def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for n, ws, near in zip(b["n"], b["words"], b["near"]):
+                    hits = {x["w"]: [(c["company_std"], c["sim"]) for c in x["to"]] for x in near}
+                    state, found = profiles.decide(list(ws), hits, least)
+                    own = [x for x in ws if x in hits and len(x) >= 5 and not set(found).isdisjoint(c for c, _ in hits[x])] + ([MARK + i] if (i := initials_of(n)) else []) if state == "one" else []
+                    rows.append((n, state, found, ws, own))
+                yield pd.DataFrame(rows, columns=["n", "state", "found", "words", "own"])
+
+        return decided
+
+    shape = "n string, state string, found array<string>, words array<string>, own array<string>"
+    names = df.select(F.col(name).alias("n")).where(F.length(F.trim("n")) > 0).distinct().join(bounded_broadcast(letters), "n", "left_anti")
+    # Names are few bytes and much work: dealt out in turn, or AQE would leave them to a task or two.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    done = cut_table(names.repartition(parts).mapInPandas(first_round, shape), "names")
+    results = [done.where("state <> 'none'").select("n", "state", "found")]
+    left = done.where("state = 'none' and size(words) > 0").select("n", "words")
+    taught = lambda made: made.where("state = 'one'").select(F.explode("own").alias("v"), F.col("found")[0].alias("company_std")).distinct()
+    spellings, least = spark.createDataFrame(profiles.spellings() or [("", "")], "v string, company_std string").unionByName(taught(done)), 0.0
+    settled = None
+    one_word = (F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= 9)
+    while rematch:
+        # Only spellings that the last round added enter blocking again; of a word's spellings the nearest count.
+        spelled = spellings.repartition(parts).mapInPandas(keyed("v", True), "k string, v string, company_std string")
+        asked = left.select(F.explode("words").alias("w")).distinct()
+        # A word that stood near some spelling has its nearest; what others were taught later says nothing of it.
+        asked = (asked if settled is None else asked.join(settled, "w", "left_anti")).repartition(parts).mapInPandas(keyed("w", False), "k string, w string")
+        pairs = asked.join(spelled, "k").select("w", "v", "company_std").distinct().mapInPandas(verified, "w string, company_std string, d double, sim double")
+        near = pairs.groupBy("w", "company_std").agg(F.min("d").alias("d"), F.max("sim").alias("sim")).groupBy("w").agg(F.min("d").alias("best"), F.collect_list(F.struct("company_std", "d", "sim")).alias("to"))
+        near = cut_table(near.select("w", F.filter("to", lambda x: x["d"] == F.col("best")).alias("to")), "near")
+        settled = near.select("w") if settled is None else settled.unionByName(near.select("w"))
+        offers = left.select("n", "words", F.explode(F.array_distinct("words")).alias("w")).join(near, "w").groupBy("n", "words").agg(F.collect_list(F.struct("w", "to")).alias("near"))
+        made = offers.mapInPandas(deciding(least), shape)
+        if least == 0:
+            # Names run together are compared whole with the list's; the profile's other words say nothing of them.
+            runs = cut_table(left.where(one_word).repartition(parts).mapInPandas(glued, shape).where("state <> 'none'"), "runs")
+            made = runs.unionByName(made.join(runs.select("n"), "n", "left_anti"))
+        made = cut_table(made.where("state <> 'none'"), "merged")
+        if made.isEmpty():
             break
-        results.append(fresh.select("n", "company_std"))
-        left = left.join(fresh.select("n"), "n", "left_anti")
-    known = results[0]
-    for r in results[1:]:
-        known = known.unionByName(r)
+        results.append(made.select("n", "state", "found"))
+        spellings = taught(made)
+        left = cut_table(left.join(made.select("n"), "n", "left_anti"), "left")
+        # A spelling that only a merge has taught must be backed by the line of business.
+        least = 0.5
+    resolved = cut_table(reduce(DataFrame.unionByName, results), "resolved")
     rows = df.select(F.col(key).alias("k"), F.col(name).alias("n"), (F.col(text) if text else F.lit(None).cast("string")).alias("t"))
-    out = rows.select("k", "n").join(known, "n").select("k", "company_std")
+    out = rows.select("k", "n").join(resolved.where("state = 'one'").select("n", F.col("found")[0].alias("company_std")), "n").select("k", "company_std")
     if text:
         starts = {s: sorted(forms(w[0]) | {w[0]}) for s, w in profiles.standard.items()}
 
@@ -272,6 +339,6 @@ def resolve_names(df: DataFrame, key: str, name: str, aliases: DataFrame, text:
                     picked.append(fit[0] if len(fit) == 1 else None)
                 yield pd.DataFrame({"k": b["k"], "company_std": picked}).dropna()
 
-        doubtful = rows.join(done.where("state = 'open'").select("n", "found"), "n").select("k", "found", "t")
+        doubtful = rows.join(resolved.where("state = 'open'").select("n", "found"), "n").select("k", "found", "t")
         out = out.unionByName(doubtful.mapInPandas(mentioned, f"k {kind}, company_std string"))
     return out.distinct().withColumnRenamed("k", key)

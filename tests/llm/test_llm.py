@@ -137,6 +137,16 @@ def test_merged_spellings_match_further_ones(spark):
     assert got.get("1") and got.get("2") and "3" not in got
 
 
+def test_rematch_decides_and_unites_initials(spark):
+    """Profiles begin with exact spellings: typos are found by blocking alone, further ones and initials by what was merged."""
+    aliases = spark.createDataFrame([("mabijis marine services", "Mabijis Marine Services"), ("al dusumul logistics", "Al Dusumul Logistics"), ("yahosan textiles", "Yahosan Textiles"), ("sahosmas furniture", "Sahosmas Furniture")], "alias string, company_std string")
+    rows = [("1", "MABIJIS Marine Services Ltd"), ("2", "Mabijas Marine Services"), ("3", "Mabejas Marine Svcs"), ("4", "AL DUSUMUL LOGISTICS"), ("5", "A.D.L."), ("6", "Sahosas Furniture"), ("7", "Yahosan Furniture")]
+    found = lambda **how: {r[0]: r[1] for r in resolve_names(spark.createDataFrame(rows, "k string, n string"), "k", "n", aliases, **how).collect()}
+    marine, dusumul = "Mabijis Marine Services", "Al Dusumul Logistics"
+    assert found(rematch=False) == {"1": marine, "4": dusumul}
+    assert found() == {"1": marine, "2": marine, "3": marine, "4": dusumul, "5": dusumul, "6": "Sahosmas Furniture"}
+
+
 def test_glued_names_with_two_typos(spark):
     rnd = random.Random(1)
     stems, lines = ["mabijis", "jajosham", "lulittaq", "kiritan", "sanum", "kutufim"], ["marineservices", "autoparts", "dental", "realestate", "x"]
