@@ -46,11 +46,11 @@ def core(name: str) -> list[str]:
     return [w[2:] if is_arabic(w) and w.startswith("ال") and len(w) > 5 else w for w in kept]
 
 
-def initials_of(name: str) -> str | None:
-    """The initials of a name written out, its article counted as people do; None for abbreviated ones."""
+def initials_of(name: str, standard: list[str]) -> str | None:
+    """The initials of a name written out in the order of its standard, with the article before it; None for others."""
     w = [x for x in words(bare(name)) if x not in LEGAL and x not in REMARKS and not x.isdigit() and x != "and"]
-    spelled = len(w) > 1 and not is_arabic(name) and all(len(x) > 3 or x in ARTICLES for x in w)
-    return "".join(x[0] for x in w) if spelled and len(w) <= 5 else None
+    usual = "".join(x[0] for x in standard)
+    return w[0][0] + usual if len(w) == len(usual) + 1 <= 5 and w[0] in ARTICLES and "".join(x[0] for x in w[1:]) == usual else None
 
 
 def as_initials(name: str) -> str | None:
@@ -239,18 +239,23 @@ def resolve_names(df: DataFrame, key: str, name: str, aliases: DataFrame, text:
     stand_ins = {" ".join(words(a)) for a, s in listed if s == unknown}
     letters = spark.createDataFrame([(x,) for x in sorted({x for pair in listed for x in pair})] or [("",)], "n string")
 
+    # Pickled once for all the functions below, and fetched once per worker.
+    shared = spark.sparkContext.broadcast(profiles)
+
     def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for b in batches:
             rows = []
             for n in b["n"]:
-                state, found, w = ("none", [], []) if " ".join(words(n)) in stand_ins else profiles.match(n, exact=True)
+                state, found, w = ("none", [], []) if " ".join(words(n)) in stand_ins else known.match(n, exact=True)
                 w = [MARK + x] if state == "none" and w and (x := as_initials(n)) else w
-                rows.append((n, state, found, w, [MARK + x] if state == "one" and (x := initials_of(n)) else []))
+                rows.append((n, state, found, w, [MARK + x] if state == "one" and (x := initials_of(n, known.standard[found[0]])) else []))
             yield pd.DataFrame(rows, columns=["n", "state", "found", "words", "own"])
 
     def glued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for b in batches:
-            found = [profiles.glued(w[0]) for w in b["words"]]
+            found = [known.glued(w[0]) for w in b["words"]]
             yield pd.DataFrame({"n": b["n"], "state": ["none" if not f else "one" if len(f) == 1 else "open" for f in found], "found": found, "words": b["words"], "own": [[] for _ in found]})
 
     def keyed(column: str, with_company: bool):  # noqa: ANN202
@@ -276,12 +281,13 @@ def resolve_names(df: DataFrame, key: str, name: str, aliases: DataFrame, text:
 
     def deciding(least: float):  # noqa: ANN202
         def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = shared.value
             for b in batches:
                 rows = []
                 for n, ws, near in zip(b["n"], b["words"], b["near"]):
                     hits = {x["w"]: [(c["company_std"], c["sim"]) for c in x["to"]] for x in near}
-                    state, found = profiles.decide(list(ws), hits, least)
-                    own = [x for x in ws if x in hits and len(x) >= 5 and not set(found).isdisjoint(c for c, _ in hits[x])] + ([MARK + i] if (i := initials_of(n)) else []) if state == "one" else []
+                    state, found = known.decide(list(ws), hits, least)
+                    own = [x for x in ws if x in hits and len(x) >= 5 and not set(found).isdisjoint(c for c, _ in hits[x])] + ([MARK + i] if (i := initials_of(n, known.standard[found[0]])) else []) if state == "one" else []
                     rows.append((n, state, found, ws, own))
                 yield pd.DataFrame(rows, columns=["n", "state", "found", "words", "own"])
 
@@ -326,16 +332,17 @@ def resolve_names(df: DataFrame, key: str, name: str, aliases: DataFrame, text:
     rows = df.select(F.col(key).alias("k"), F.col(name).alias("n"), (F.col(text) if text else F.lit(None).cast("string")).alias("t"))
     out = rows.select("k", "n").join(resolved.where("state = 'one'").select("n", F.col("found")[0].alias("company_std")), "n").select("k", "company_std")
     if text:
-        starts = {s: sorted(forms(w[0]) | {w[0]}) for s, w in profiles.standard.items()}
 
         def mentioned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = shared.value
+            starts = {s: forms(w[0]) | {w[0]} for s, w in known.standard.items()}
             for b in batches:
                 picked = []
                 for found, t in zip(b["found"], b["t"]):
                     seen = {f for x in words(t or "") for f in (x, fold(x))} if isinstance(t, str) else set()
                     run = " ".join(words(t)) if isinstance(t, str) else ""
-                    full = [s for s in found if " ".join(profiles.standard[s]) in run]
-                    fit = full or [s for s in found if seen & set(starts[s])]
+                    full = [s for s in found if " ".join(known.standard[s]) in run]
+                    fit = full or [s for s in found if seen & starts[s]]
                     picked.append(fit[0] if len(fit) == 1 else None)
                 yield pd.DataFrame({"k": b["k"], "company_std": picked}).dropna()
 
