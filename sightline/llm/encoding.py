@@ -1,9 +1,10 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
 Tree concatenation: a text longer than a leaf is cut into leaves which are encoded in
-parallel tasks; neighbouring results are joined pairwise. At a join the text is split
-and encoded anew in a window around the seam, which grows until the window's pieces
-agree with those of both sides. Inside one unsplit piece (letters without a break) the
+parallel tasks; neighbouring results are joined pairwise. Where a seam lies between two
+words both sides agree for certain. At any other the text is split and encoded anew in a
+window around the seam, which grows until the window's pieces agree with those of both
+sides. Inside one unsplit piece (letters without a break) the
 same is done on tokens: the window grows until its first and last token are those of the
 two sides, which makes every neighbouring pair of tokens valid and so the whole exact.
 """
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import regex
 import tiktoken
@@ -113,6 +115,24 @@ def join_all(enc: tiktoken.Encoding, parts: list[Encoded]) -> Encoded:
     return parts[0] if parts else Encoded("", [], [])
 
 
+def cuts(text: str, leaf: int) -> list[tuple[int, bool]]:
+    """Ends of a text's leaves, each with whether a piece ends there whatever stands around it.
+
+    A single blank between two letters opens the piece of the word after it, so a text cut
+    there is encoded as its parts are. Where none stands in the last eighth of a leaf the cut
+    is made anyway, and the seam is joined by growing windows.
+    """
+    out, at = [], 0
+    while len(text) - at > leaf:
+        to = low = at + leaf
+        while (low := text.rfind(" ", at + leaf - leaf // 8, low)) > at:
+            if text[low - 1].isalpha() and text[low + 1].isalpha():
+                break
+        out.append((low, True) if low > at else (to, False))
+        at = out[-1][0]
+    return [*out, (len(text), True)]
+
+
 def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", leaf: int = LEAF) -> DataFrame:
     """(key, ids) of every row, special tokens read as ordinary text.
 
@@ -135,30 +155,38 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS,
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k, r, t in zip(b["k"], b["r"], b["t"]):
-                n = -(-len(t) // leaf)
-                yield pd.DataFrame({"k": [k] * n, "r": [r] * n, "i": range(n), "t": [t[i * leaf : (i + 1) * leaf] for i in range(n)]})
+                t = t.encode("utf-8", "replace").decode("utf-8")
+                ends = cuts(t, leaf)
+                starts = [(0, True), *ends[:-1]]
+                yield pd.DataFrame({"k": [k] * len(ends), "r": [r] * len(ends), "i": range(len(ends)), "sealed": [a and b for (_, a), (_, b) in zip(starts, ends)], "last": [b for _, b in ends], "t": [t[a:b] for (a, _), (b, _) in zip(starts, ends)]})
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(folder, name)
         for b in batches:
-            done = [Encoded.of(enc, t) for t in b["t"]]
-            b["ends"], b["sizes"], b["ids"] = [x.ends for x in done], [[len(p) for p in x.tokens] for x in done], [x.ids() for x in done]
+            # A leaf between certain borders is encoded whole; the pieces of others are needed for their seams.
+            done = [None if s else Encoded.of(enc, t) for s, t in zip(b["sealed"], b["t"])]
+            b["ends"], b["sizes"] = [[] if x is None else x.ends for x in done], [[] if x is None else [len(p) for p in x.tokens] for x in done]
+            b["ids"] = [enc.encode_ordinary(t) if x is None else x.ids() for x, t in zip(done, b["t"])]
+            b["t"] = ["" if x is None else t for x, t in zip(done, b["t"])]
             yield b
 
     def joined(b: pd.DataFrame) -> pd.DataFrame:
-        enc, parts = encoder(folder, name), []
+        enc, out, parts = encoder(folder, name), [], []
         b = b.sort_values("i")
-        for t, ends, sizes, ids in zip(b["t"], b["ends"], b["sizes"], b["ids"]):
-            at, tokens, flat = 0, [], [int(x) for x in ids]
-            for s in sizes:
-                tokens.append(flat[at : at + int(s)])
-                at += int(s)
-            parts.append(Encoded(t, [int(e) for e in ends], tokens))
-        return pd.DataFrame({"k": [b["k"].iloc[0]], "ids": [join_all(enc, parts).ids()]})
+        for sealed, last, t, ends, sizes, ids in zip(b["sealed"], b["last"], b["t"], b["ends"], b["sizes"], b["ids"]):
+            if sealed:
+                out.append(np.asarray(ids, dtype="int32"))
+                continue
+            flat, bounds = ids.tolist(), [0, *np.cumsum(sizes).tolist()]
+            parts.append(Encoded(t, ends.tolist(), [flat[x:y] for x, y in zip(bounds, bounds[1:])]))
+            if last:
+                out.append(np.asarray(join_all(enc, parts).ids(), dtype="int32"))
+                parts = []
+        return pd.DataFrame({"k": [b["k"].iloc[0]], "ids": [np.concatenate(out)]})
 
     whole = rows.where(length <= leaf).mapInPandas(short, f"k {kind}, ids array<int>")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = rows.where(length > leaf).withColumn("r", F.monotonically_increasing_id()).mapInPandas(cut, f"k {kind}, r long, i int, t string").repartition(spread, "r", "i")
-    pieces = pieces.mapInPandas(leaves, f"k {kind}, r long, i int, t string, ends array<int>, sizes array<int>, ids array<int>")
+    pieces = rows.where(length > leaf).withColumn("r", F.monotonically_increasing_id()).mapInPandas(cut, f"k {kind}, r long, i int, sealed boolean, last boolean, t string").repartition(spread, "r", "i")
+    pieces = pieces.mapInPandas(leaves, f"k {kind}, r long, i int, sealed boolean, last boolean, t string, ends array<int>, sizes array<int>, ids array<int>")
     long = pieces.groupBy("r").applyInPandas(joined, f"k {kind}, ids array<int>")
     return whole.unionByName(long).withColumnRenamed("k", key)

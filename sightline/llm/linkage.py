@@ -27,7 +27,7 @@ from sightline.llm.places import AROUND, PlaceReader, place_entries
 from sightline.llm.spelling import fold, words
 from sightline.llm.survivors import plain, token_text, usable
 from sightline.llm.titles import TitleWords
-from sightline.session import cut_table
+from sightline.session import cut_table, small_list
 
 # Words of names that stand in for an undisclosed employer.
 VEILED = {"confidential", "private", "undisclosed", "anonymous", "leading", "reputed", "client", "employer", "disclosed", "hidden", "سري", "سرية"}
@@ -175,9 +175,9 @@ def read_listings(listings: DataFrame, mapping: DataFrame, aliases: DataFrame, s
     # Words in at least a fixed share of all titles: at most (words per title / share) of them.
     common = fields.select(F.explode(split).alias("w")).where("w <> ''").groupBy("w").count().where(F.col("count") >= share * total).collect()
     cities, regions = place_entries(mapping)
-    rows = mapping.select("alias", "city_std").limit(20_000).collect()
+    rows = small_list(mapping.select("alias", "city_std"), 20_000, "the list of places")
     place_words = {w for r in rows for x in (r["alias"], r["city_std"]) if x for w in words(x)} | {"al", "el"}
-    listed = [(r["alias"], r["company_std"]) for r in aliases.select("alias", "company_std").limit(100_000).collect() if r["alias"] and r["company_std"]]
+    listed = [(r["alias"], r["company_std"]) for r in small_list(aliases.select("alias", "company_std"), 100_000, "the list of names") if r["alias"] and r["company_std"]]
     reader = ListingReader(TitleWords({r["w"]: r["count"] for r in common}, place_words), PlaceReader(cities, regions, AROUND), {c for _, c in cities.rows}, Profiles([x for x in listed if x[1] != "Unknown"]), {" ".join(words(a)) for a, s in listed if s == "Unknown"})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.writing import plain_spaces
 from sightline.llm.spelling import Vocabulary, fold, is_arabic, words
+from sightline.session import small_list
 
 UNMATCHED = "UNMATCHED"
 # Words around a place that are no part of its name.
@@ -179,8 +180,8 @@ def map_values(df: DataFrame, value: str, entries: Entries, drop: set[str], floo
 
 
 def place_entries(mapping: DataFrame, most: int = 20_000) -> tuple[Entries, Entries]:
-    """Cities and regions of a mapping (alias, city_std, region_std) of at most ``most`` rows."""
-    rows = mapping.select("alias", "city_std", "region_std").where(F.col("alias").isNotNull()).limit(most).collect()
+    """Cities and regions of a mapping (alias, city_std, region_std); one of more than ``most`` rows is an error."""
+    rows = small_list(mapping.select("alias", "city_std", "region_std").where(F.col("alias").isNotNull()), most, "the list of places")
     strip = lambda a: " ".join(w[2:] if is_arabic(w) and w.startswith("ال") and len(w) > 4 else w for w in words(a) if w not in ARTICLES)
     cities = [(strip(r["alias"]), r["city_std"]) for r in rows if r["city_std"]] + [(strip(r["city_std"]), r["city_std"]) for r in rows if r["city_std"]]
     regions = [(r["alias"], r["region_std"]) for r in rows if not r["city_std"]] + [(r["region_std"], r["region_std"]) for r in rows if r["region_std"]]
@@ -200,7 +201,7 @@ def map_places(df: DataFrame, value: str, mapping: DataFrame) -> DataFrame:
 
 def map_countries(df: DataFrame, value: str, countries: DataFrame, most: int = 1000) -> DataFrame:
     """(value, canonical) of free countries; codes and other names must stand alone."""
-    rows = countries.select("country_code", "country_name").limit(most).collect()
+    rows = small_list(countries.select("country_code", "country_name"), most, "the list of countries")
     drop = {"the", "of"}
     glue = lambda p: "".join(words(p))
     names = {r["country_name"]: [r["country_name"], r["country_code"], *(x.replace("-", " ") for x in COUNTRIES.get(r["country_code"], "").split())] for r in rows}

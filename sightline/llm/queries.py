@@ -12,7 +12,7 @@ from sightline.llm.packing import pack
 from sightline.llm.places import map_countries, map_places
 from sightline.llm.residue import find_residue
 from sightline.llm.survivors import survivors
-from sightline.session import cut_table, table
+from sightline.session import cut_table, small_list, table
 
 
 def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in a container of each kind."""
     sizes = cut_table(p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n")), "sizes")
-    kinds = [(r["container_kind"], int(r["capacity_tokens"])) for r in table(spark, sf_dir, "seed_containers").orderBy("container_kind").limit(100).collect()]
+    kinds = [(r["container_kind"], int(r["capacity_tokens"])) for r in sorted(small_list(table(spark, sf_dir, "seed_containers").select("container_kind", "capacity_tokens"), 100, "the list of containers"))]
     return pack(sizes, "doc_id", "n", kinds)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("sightline.llm")
 
-from sightline.llm.encoding import Encoded, encode_corpus, encoder, join_all, join_tokens
+from sightline.llm.encoding import Encoded, cuts, encode_corpus, encoder, join_all, join_tokens
 from sightline.llm.linkage import LabelModel, link
 from sightline.llm.names import Profiles, abbreviates, core, resolve_names
 from sightline.llm.packing import pack, plan
@@ -32,6 +32,18 @@ def test_tree_concatenation_is_exact(parts, leaf):
     assert join_all(enc, leaves).ids() == enc.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "word", " word", "م ر", "x y z "]), max_size=60), st.sampled_from([8, 16, 40]))
+def test_certain_borders_are_borders(parts, leaf):
+    enc, text = encoder(), "".join(parts)
+    ids, run, at = [], "", 0
+    for end, certain in cuts(text, leaf):
+        run, at = run + text[at:end], end
+        if certain:
+            ids, run = ids + enc.encode_ordinary(run), ""
+    assert at == len(text) and ids == enc.encode_ordinary(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abcdehilnorstw", min_size=1, max_size=80), st.integers(0, 80))
 def test_joined_tokens_are_exact(word, at):
