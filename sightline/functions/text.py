@@ -85,3 +85,34 @@ def publisher_key(c: Column, source: Column) -> Column:
     """Publisher without 'www.' and domain ending, letters and digits only."""
     bare = F.regexp_replace(F.lower(F.trim(c)), r"^www\.|\.(com|net|org|io|co|sa)$", "")
     return F.coalesce(F.nullif(F.regexp_replace(bare, r"[\s\p{Punct}]", ""), F.lit("")), F.concat(source, F.lit(":unknown")))
+
+
+def in_scope(country: Column, texts: list[Column], name: str, patterns: list[str]) -> Column:
+    """Structured first: the country if one is stated, else whether a text is like any pattern."""
+    stated = clean(country)
+    said = reduce(lambda a, b: a | b, [F.coalesce(F.lower(t).like(p.lower()), F.lit(False)) for t in texts for p in patterns])
+    return F.when(stated.isNotNull(), F.lower(stated) == name.lower()).otherwise(said)
+
+
+def workplace_type(stated: Column, remote: Column, hybrid: Column | None = None) -> Column:
+    """The stated type, else what the flags of a feed say; 'Unknown' where neither does."""
+    flags = F.when(remote, "Remote")
+    if hybrid is not None:
+        flags = F.when(hybrid, "Hybrid").when(remote, "Remote").when(~remote & ~hybrid, "OnSite")
+    return F.coalesce(F.when(F.lower(stated) != "unknown", clean(stated)), flags, F.lit("Unknown"))
+
+
+def remote_status(workplace: Column, remote: Column) -> Column:
+    """The type goes before the flag: Remote, Hybrid, On-site or Unknown."""
+    low = F.lower(F.replace(workplace, F.lit("-"), F.lit("")))
+    return F.when(low == "remote", "Remote").when(low == "hybrid", "Hybrid").when(low == "onsite", "On-site").when(remote, "Remote").when(~remote, "On-site").otherwise("Unknown")
+
+
+def nth_match(c: Column, pattern: str, n: int, group: int = 0) -> Column:
+    """The n-th match of a pattern (from 1), null where there are fewer."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(n - 1))
+
+
+def matches_whole(c: Column, pattern: str) -> Column:
+    """Whether a pattern covers the whole text."""
+    return c.rlike(f"^(?:{pattern})$")

@@ -72,10 +72,10 @@ def source_week_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with n as (select source_name, board, ingest_date, count(*) as postings from board_snapshots group by all), l as (select *, lag(postings) over (partition by source_name, board order by ingest_date) as previous, row_number() over (partition by source_name, board order by ingest_date desc) r from n)
-select source_name, board, ingest_date, postings, previous from l where r = 1 and previous >= 10 and postings < 0.5 * previous""")
+select source_name, board, ingest_date, postings, previous from l where r = 1 and previous >= 2 and postings < 0.9 * previous""")
 def collapsed_pull_check(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "board_snapshots").groupBy("source_name", "board", "ingest_date").agg(F.count(F.lit(1)).alias("postings"))
-    return lifecycle.collapsed_pulls(counts, ["source_name", "board"], "ingest_date", "postings")
+    return lifecycle.collapsed_pulls(counts, ["source_name", "board"], "ingest_date", "postings", ratio=0.9, least=2)
 
 
 @query("""with a as (select max(pull_date) as as_of from int_board_pulls where is_successful), c as (select source_name, board, pull_date from int_board_pulls group by all having count(*) filter (is_successful) > 0),
@@ -339,14 +339,6 @@ def shared_supplier_veto(spark: SparkSession, d: str) -> DataFrame:
     return matching.veto_shared(pairs, "p_partkey", table(spark, d, "lineitem").select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey").select("p_partkey_a", "p_partkey_b")
 
 
-@query("""with m as (select distinct job_sk, source_record_sk, fuzzy_match_score s, match_tier t from int_jobs_matched where fuzzy_match_score is not null), g as (select unnest([80.0, 85.0, 90.0, 95.0])::double as threshold)
-select threshold, count(*) filter (s >= threshold and t = 'fuzzy') as tp, count(*) filter (s >= threshold and t <> 'fuzzy') as fp, count(*) filter (s < threshold and t = 'fuzzy') as fn,
-round(count(*) filter (s >= threshold and t = 'fuzzy')::double / nullif(count(*) filter (s >= threshold and t is not null), 0), 4) as precision, round(count(*) filter (s >= threshold and t = 'fuzzy')::double / nullif(count(*) filter (t = 'fuzzy'), 0), 4) as recall from m, g group by 1""")
-def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "int_jobs_matched").where("fuzzy_match_score is not null").select("job_sk", "source_record_sk", "fuzzy_match_score", "match_tier").distinct()
-    return matching.threshold_grid(rows.withColumn("truth", F.col("match_tier") == "fuzzy"), "fuzzy_match_score", "truth", [80.0, 85.0, 90.0, 95.0])
-
-
 # --- survivorship, aggregates ----------------------------------------------------------------
 
 

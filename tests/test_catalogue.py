@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sightline.plans import catalogue, pipeline_queries
+from sightline.plans import catalogue, observed, pipeline_queries
 
-CORE = {**catalogue.QUERIES, **pipeline_queries.QUERIES}
+CORE = {**catalogue.QUERIES, **observed.QUERIES, **pipeline_queries.QUERIES}
+ORACLE = {**catalogue.ORACLE, **observed.ORACLE, **pipeline_queries.ORACLE}
 
 
 @pytest.fixture(scope="module")
@@ -34,10 +35,10 @@ def value(x):
         return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, sf, duck, name):
     got = CORE[name](spark, sf)
-    want = duck.execute(catalogue.ORACLE[name])
+    want = duck.execute(ORACLE[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
     a = sorted((tuple(value(r[c]) for c in sorted(columns)) for r in got.collect()), key=str)
@@ -45,7 +46,7 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert len(a) == len(b) and a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(CORE) - set(catalogue.ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(CORE) - set(ORACLE)))
 def test_query_without_sql_runs(spark, sf, name):
     assert CORE[name](spark, sf).count() > 0
 
