@@ -38,15 +38,17 @@ def veto_shared(pairs: DataFrame, key: str, members: DataFrame, member: str, att
     return pairs.join(shared.select(f"{key}_a", f"{key}_b").distinct(), [f"{key}_a", f"{key}_b"], "left_anti")
 
 
-def mutual_best(pairs: DataFrame, key: str, score: str, threshold: float | None) -> DataFrame:
+def mutual_best(pairs: DataFrame, key: str, score: str, threshold: float | None, gap: str | None = None) -> DataFrame:
     """Pairs in which each is the other's best; no chains. A null threshold switches the tier off.
 
-    Best by score, then by the partner's key. Both directions are aggregated map-side with
+    Best by score, then by the smaller ``gap``, then by the partner's key. Both directions are aggregated map-side with
     min_by, so a hub with many partners is no single task's.
     """
     kept = pairs.where(F.lit(False)) if threshold is None else pairs.where(F.col(score) >= threshold)
-    sides = kept.select(F.explode(F.array(F.struct(F.col(f"{key}_a").alias("x"), F.col(f"{key}_b").alias("y"), F.col(score).alias("s")), F.struct(F.col(f"{key}_b").alias("x"), F.col(f"{key}_a").alias("y"), F.col(score).alias("s")))).alias("e")).select("e.*")
-    best = sides.groupBy("x").agg(F.min(F.struct((-F.col("s")).alias("n"), "y")).alias("b")).select("x", F.col("b.y").alias("y"), (-F.col("b.n")).alias(score))
+    apart = F.lit(0) if gap is None else F.coalesce(F.col(gap), F.lit(1 << 30))
+    side = lambda x, y: F.struct(F.col(f"{key}_{x}").alias("x"), F.col(f"{key}_{y}").alias("y"), F.col(score).alias("s"), apart.alias("g"))
+    sides = kept.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).select("e.*")
+    best = sides.groupBy("x").agg(F.min(F.struct((-F.col("s")).alias("n"), "g", "y")).alias("b")).select("x", F.col("b.y").alias("y"), (-F.col("b.n")).alias(score))
     back = best.select(F.col("x").alias("_y"), F.col("y").alias("_x"))
     return best.join(back, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).where("x < y").select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"), score)
 

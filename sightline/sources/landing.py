@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sightline.functions.dates import board_from_path, ingest_date_from_path
+from sightline.functions.dates import board_from_path, business_date, ingest_date_from_path
 from sightline.operators.semistructured import at, is_array, parse
 
 #: Sources and how their payload is laid out: the path of the array, and whether an envelope is around it.
@@ -31,7 +31,7 @@ def scan(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
     return files.select(parse(F.col("value"), strict).alias("raw_data"), path.alias("file_name"), F.col("_metadata.file_modification_time").alias("loaded_at"), board_from_path(path).alias("board"), ingest_date_from_path(path).alias("ingest_date"))
 
 
-def landed_files(raw: DataFrame, source: str) -> DataFrame:
+def landed_files(raw: DataFrame, source: str, zone: str = "Asia/Riyadh") -> DataFrame:
     """Success of each landed file: an array counts (an empty one too), an error body doesn't."""
     path, envelope = LAYOUTS[check_sources([source])[0]]
     body = F.try_parse_json(at(F.col("raw_data"), "$.response_raw")) if envelope else F.col("raw_data")
@@ -39,6 +39,10 @@ def landed_files(raw: DataFrame, source: str) -> DataFrame:
     ok = is_array(F.col("_b"), path)
     if envelope:
         ok = ok & (at(F.col("raw_data"), "$.http_status", "int") == 200)
+    if envelope:
+        # Pages of a query are no boards: the source is one, and its day that of the request.
+        asked = business_date(at(F.col("raw_data"), "$.ingested_at", "timestamp"), zone)
+        out = out.withColumn("board", F.lit(source)).withColumn("ingest_date", F.coalesce(asked, F.col("ingest_date")))
     return out.select(F.lit(source).alias("source_name"), "board", "ingest_date", "file_name", "loaded_at", F.coalesce(ok, F.lit(False)).alias("is_successful"), F.coalesce(F.size(F.try_variant_get("_b", path, "array<variant>")), F.lit(0)).alias("postings"))
 
 

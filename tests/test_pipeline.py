@@ -29,7 +29,7 @@ def raw(tmp_path):
     land(root, "ashby", "2026-09-03", "acme.json", {"error": "not found"})
     land(root, "ashby", "2026-09-01", "quiet.json", {"jobs": []})
     page = lambda jobs, status=200: {"http_status": status, "ingested_at": "2026-09-02T22:00:00Z", "response_raw": json.dumps({"jobs": jobs})}
-    land(root, "jooble", "2026-09-02", "jooble__q__s__page_001.json", page([{"id": "9", "title": "Data Engineer (Urgent)", "company": "Acme Ltd", "location": "Riyadh", "source": "www.Ads.com"}, {"id": "8", "title": "Senior Data Engineer", "company": "Acme", "location": "Riyadh or Jeddah"}]))
+    land(root, "jooble", "2026-09-02", "jooble__q__s__page_001.json", page([{"id": "9", "title": "Data Engineer (Urgent)", "company": "Acme Ltd", "location": "Riyadh", "source": "www.Ads.com", "salary": "SAR 9000 - 10000 per month"}, {"id": "8", "title": "Senior Data Engineer", "company": "Acme", "location": "Riyadh or Jeddah"}]))
     land(root, "jooble", "2026-09-02", "jooble__q__s__page_002.json", page([{"id": "7", "title": "x"}], 429))
     land(root, "jooble", "2026-09-02", "jooble__q__s__page_003.json", "{broken")
     return root
@@ -40,8 +40,9 @@ def test_run_from_files_to_marts(spark, raw, tmp_path):
     aliases = spark.createDataFrame([("acme", "Acme")], "alias string, company_std string")
     out = str(tmp_path / "out")
     args = (spark, str(raw), out, places, aliases, {"ashby": 1, "jooble": 2})
+    rules = {"categories": spark.createDataFrame([("data engineer", "Technology", 1), ("sales", None, 1)], "keyword string, job_category string, priority int"), "levels": spark.createDataFrame([("senior", "Mid-Senior", 1)], "keyword string, experience_level string, priority int"), "skills": spark.createDataFrame([("data engineer", "Data engineering")], "keyword string, skill_name string")}
     assert pipeline.run(*args, sources=["ashby", "jooble"], dry_run=True) == [(s, "planned", 0.0) for s in pipeline.STEPS]
-    assert [x[:2] for x in pipeline.run(*args, sources=["ashby", "jooble"])] == [(s, "ok") for s in pipeline.STEPS]
+    assert [x[:2] for x in pipeline.run(*args, sources=["ashby", "jooble"], **rules)] == [(s, "ok") for s in pipeline.STEPS]
     read = lambda n: spark.read.parquet(f"{out}/{n}")
     listings = {(r["source_name"], r["source_job_id"]): r for r in read("listings").collect()}
     assert set(listings) == {("ashby", "1"), ("ashby", "2"), ("jooble", "9"), ("jooble", "8")}
@@ -55,6 +56,15 @@ def test_run_from_files_to_marts(spark, raw, tmp_path):
     assert jobs["Senior Data Engineer"]["lifecycle_status"] == "unknown"
     assert read("fct_jobs").count() == 3 and quality.one_unknown_member(read("dim_company"), "company_sk").isEmpty()
     assert quality.relationships(read("fct_jobs"), "company_sk", read("dim_company"), "company_sk").isEmpty()
+    engineer, sales, senior = jobs["Data Engineer"], jobs["Sales Lead"], jobs["Senior Data Engineer"]
+    assert (engineer["job_category"], sales["job_category"], engineer["experience_level_basis"], senior["experience_level"], senior["experience_level_basis"]) == ("Technology", "Unknown", "unknown", "Mid-Senior", "title")
+    assert (engineer["is_baseline"], engineer["opening_date"], str(sales["open_until_date"]), sales["is_censored"], sales["days_listed_basis"]) == (True, None, "2026-09-01", False, "first_seen")
+    assert engineer["salary_is_parsed"] and (engineer["salary_min_sar_month"], engineer["salary_max_sar_month"]) == (9000.0, 10000.0) and senior["salary_text"] is None
+    assert {(r["board"], str(r["pull_date"]), r["is_successful"], r["is_baseline"]) for r in read("pulls").where("source_name = 'jooble'").collect()} == {("jooble", "2026-09-03", True, True), ("jooble", "2026-09-02", False, False)}
+    assert {r["matched_in"] for r in read("bridge_job_skill").collect()} == {"title"} and read("dim_skill").count() == 1 and read("dim_date").count() > 2
+    for key, dim in (("role_sk", "dim_role"), ("source_sk", "dim_source"), ("location_sk", "dim_location"), ("job_attributes_sk", "dim_job_attributes"), ("posting_sk", "dim_job_posting"), ("first_seen_date_sk", "dim_date")):
+        parent = "date_sk" if dim == "dim_date" else key
+        assert quality.relationships(read("fct_jobs"), key, read(dim), parent).isEmpty(), dim
     matched = read("jobs_matched")
     assert quality.one_per_group(matched, ["job_sk"], "is_representative").isEmpty() and matched.count() == len(listings)
 
