@@ -33,30 +33,40 @@ from sightline.session import cut_table, small_list
 VEILED = {"confidential", "private", "undisclosed", "anonymous", "leading", "reputed", "client", "employer", "disclosed", "hidden", "سري", "سرية"}
 #: The matching functions, in the order of the votes.
 FUNCTIONS = ("employer", "mention", "level", "place", "text", "date")
+#: Those whose attributes define an opening: who hires, on which level, where.
+DEFINING = (0, 2, 3)
 
 
 class LabelModel:
-    """Two-class model of votes: P(votes | class, who voted) as a product of factors.
-
-    A factor is one function, or several whose votes stay correlated within a class and are
-    then modelled jointly. Abstaining says nothing. Fitted by expectation-maximisation on
-    counted patterns, started from the majority vote; functions are taken to be better than
-    chance beforehand, with the weight of ``belief`` votes.
+    """Generative model of votes: P(votes | kind of pair, who voted) as a product of factors.
+
+    A pair is a match, or a non-match of one of several kinds: each kind differs in the
+    attribute of one ``defining`` function and agrees in those named before it, whatever the
+    others say (without any, there is one kind). A factor is one function, or several whose votes stay correlated within a kind
+    and are then modelled jointly. Abstaining says nothing. Fitted by expectation-maximisation
+    on counted patterns, started from the majority vote; functions are taken to be better than
+    chance beforehand, with the weight of ``belief`` votes. Without negative pairs the prior of
+    a match stays below one by the same weight.
     """
 
-    def __init__(self, correlated: float = 0.3, rounds: int = 200, belief: float = 20.0, accuracy: float = 0.8) -> None:
-        self.correlated, self.rounds, self.belief, self.accuracy = correlated, rounds, belief, accuracy
+    def __init__(self, defining: tuple[int, ...] = (), correlated: float = 0.3, rounds: int = 200, belief: float = 20.0, accuracy: float = 0.8) -> None:
+        self.defining, self.correlated, self.rounds, self.belief, self.accuracy = defining, correlated, rounds, belief, accuracy
         self.factors: list[tuple[int, ...]] = []
-        self.prior = 0.5
-        self.tables: dict[tuple[int, ...], tuple[float, float]] = {}
+        self.kinds = 1 + max(1, len(defining))
+        self.priors = [0.5] + [0.5 / (self.kinds - 1)] * (self.kinds - 1)
+        self.tables: dict[tuple[int, ...], tuple[float, ...]] = {}
+
+    @property
+    def prior(self) -> float:
+        """Share of matches among the candidates."""
+        return self.priors[0]
 
     def fit(self, counts: dict[tuple[int, ...], float]) -> LabelModel:
         if not counts:
             return self
         width = len(next(iter(counts)))
         self.factors = [(i,) for i in range(width)]
-        start = {v: 1 / (1 + math.exp(-1.5 * sum(v))) for v in counts}
-        post = self._run(counts, start)
+        post = self._run(counts, {v: self._start(v) for v in counts})
         joined = [{i} for i in range(width)]
         for i, j in combinations(range(width), 2):
             a, b = next(s for s in joined if i in s), next(s for s in joined if j in s)
@@ -67,16 +77,34 @@ class LabelModel:
         self._run(counts, post)
         return self
 
+    def _start(self, v: tuple[int, ...]) -> list[float]:
+        """Kinds of a pattern by majority; one that differs in a defining attribute is hardly a match."""
+        differs = [float(v[k] == -1 and -1 not in [v[j] for j in self.defining[:i]]) for i, k in enumerate(self.defining)] or [1.0]
+        match = 1 / (1 + math.exp(-1.5 * sum(v)))
+        match = min(match, 0.2) if self.defining and any(differs) else match
+        differs = differs if any(differs) else [1.0] * len(differs)
+        return [match, *((1 - match) * x / sum(differs) for x in differs)]
+
+    def _believed(self, kind: int, function: int, vote: int) -> float:
+        """Chance of a vote in a kind of pair, before any is seen."""
+        right = self.accuracy if vote == 1 else 1 - self.accuracy
+        if kind == 0:
+            return right
+        if function not in self.defining or self.defining[kind - 1] == function:
+            return 1 - right
+        return right if function in self.defining[: kind - 1] else 0.5
+
     def _run(self, counts: dict, post: dict) -> dict:
         total = sum(counts.values())
         for _ in range(self.rounds):
-            self.prior = min(max(sum(counts[v] * post[v] for v in counts) / total, 1e-3), 1 - 1e-3)
+            shares = [max((sum(counts[v] * post[v][c] for v in counts) + self.belief / self.kinds) / (total + self.belief), 1e-4) for c in range(self.kinds)]
+            self.priors = [x / sum(shares) for x in shares]
             seen: dict[tuple, list[float]] = {}
             for f in self.factors:
                 for v, n in counts.items():
-                    cell = seen.setdefault((f, tuple(v[i] for i in f)), [0.0, 0.0])
-                    cell[0] += n * post[v]
-                    cell[1] += n * (1 - post[v])
+                    cell = seen.setdefault((f, tuple(v[i] for i in f)), [0.0] * self.kinds)
+                    for c in range(self.kinds):
+                        cell[c] += n * post[v][c]
             self.tables = {}
             for f in self.factors:
                 for mask in {tuple(x != 0 for x in key) for g, key in seen if g == f}:
@@ -87,32 +115,38 @@ class LabelModel:
                     for bits in range(2**voted):
                         signs = iter(1 if bits >> k & 1 else -1 for k in range(voted))
                         key = tuple(next(signs) if m else 0 for m in mask)
-                        right = sum(x == 1 for x in key)
-                        a = self.accuracy
-                        yes, no = seen.get((f, key), (0.0, 0.0))
-                        cells[key] = (yes + self.belief * a**right * (1 - a) ** (voted - right), no + self.belief * (1 - a) ** right * a ** (voted - right))
-                    y, z = sum(c[0] for c in cells.values()), sum(c[1] for c in cells.values())
-                    self.tables |= {(f, key): (c[0] / y, c[1] / z) for key, c in cells.items()}
-            new = {v: self.posterior(v) for v in counts}
-            moved = max(abs(new[v] - post[v]) for v in counts)
+                        found = seen.get((f, key), [0.0] * self.kinds)
+                        # A kind agrees in the attributes named before its own: that is what the kind means, so it isn't learned.
+                        barred = [c > 1 and any(x == -1 and i in self.defining[: c - 1] for i, x in zip(f, key)) for c in range(self.kinds)]
+                        cells[key] = [1e-3 if barred[c] else found[c] + self.belief * math.prod(self._believed(c, i, x) for i, x in zip(f, key) if x) for c in range(self.kinds)]
+                    sums = [sum(cell[c] for cell in cells.values()) for c in range(self.kinds)]
+                    self.tables |= {(f, key): tuple(cell[c] / sums[c] for c in range(self.kinds)) for key, cell in cells.items()}
+            new = {v: self._kinds_of(v) for v in counts}
+            moved = max(abs(new[v][0] - post[v][0]) for v in counts)
             post = new
             if moved < 1e-6:
                 break
         return post
 
-    def posterior(self, votes: tuple[int, ...]) -> float:
-        odds = math.log(self.prior / (1 - self.prior))
+    def _kinds_of(self, votes: tuple[int, ...]) -> list[float]:
+        logs = [math.log(x) for x in self.priors]
         for f in self.factors:
-            yes, no = self.tables.get((f, tuple(votes[i] for i in f)), (1.0, 1.0))
-            odds += math.log(yes / no)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
+            for c, x in enumerate(self.tables.get((f, tuple(votes[i] for i in f)), (1.0,) * self.kinds)):
+                logs[c] += math.log(x)
+        top = max(logs)
+        odds = [math.exp(max(x - top, -60.0)) for x in logs]
+        return [x / sum(odds) for x in odds]
+
+    def posterior(self, votes: tuple[int, ...]) -> float:
+        """Confidence that a pair with these votes is a match."""
+        return self._kinds_of(votes)[0]
 
     @staticmethod
     def _correlation(counts: dict, post: dict, i: int, j: int) -> float:
         """Greatest correlation of two functions' votes within a class, where both vote."""
         best = 0.0
         both = [v for v in counts if v[i] and v[j]]
-        for weight in (lambda v: post[v], lambda v: 1 - post[v]):
+        for weight in [lambda v, c=c: post[v][c] for c in range(len(next(iter(post.values()))))]:
             n = sum(counts[v] * weight(v) for v in both)
             if n < 10:
                 continue
@@ -168,7 +202,11 @@ class ListingReader:
 
 
 def read_listings(listings: DataFrame, mapping: DataFrame, aliases: DataFrame, share: float = 0.001) -> DataFrame:
-    """(k, source, work, level, city, first, line, t, posting_date) of listings."""
+    """(k, source, work, level, city, first, line, t, said, named, posting_date) of listings.
+
+    ``said`` are the folded words of the text of a listing whose employer is veiled, and
+    ``named`` tells whether a listed name is among them.
+    """
     fields = listings.select(F.col("source_record_sk").alias("k"), F.regexp_replace(F.lower(F.trim("source_name")), r"\.example$", "").alias("source"), F.coalesce("job_title", "title_norm").alias("title"), "location_raw", "city_std", "company_name", "posting_date", F.when(usable(F.col("description_text")), token_text(plain(F.col("description_text")))).alias("t")).where("k is not null")
     split = F.array_distinct(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}]+"))
     total = fields.count()
@@ -186,10 +224,11 @@ def read_listings(listings: DataFrame, mapping: DataFrame, aliases: DataFrame, s
             for k, source, title, raw, stated, name, day, t in zip(b["k"], b["source"], b["title"], b["location_raw"], b["city_std"], b["company_name"], b["posting_date"], b["t"]):
                 work, level = reader.titles.read(title) if isinstance(title, str) else ([], [])
                 first, line = reader.employer(name)
-                out.append((k, source, " ".join(work), " ".join(level), reader.city(raw, stated), first, line, t, day))
-            yield pd.DataFrame(out, columns=["k", "source", "work", "level", "city", "first", "line", "t", "posting_date"])
+                heard = list(map(fold, t.split())) if first is None and isinstance(t, str) else None
+                out.append((k, source, " ".join(work), " ".join(level), reader.city(raw, stated), first, line, t, heard and " ".join(heard), heard and any(len(x) > 4 and x in reader.companies.first for x in heard), day))
+            yield pd.DataFrame(out, columns=["k", "source", "work", "level", "city", "first", "line", "t", "said", "named", "posting_date"])
 
-    return fields.mapInPandas(read, "k string, source string, work string, level string, city string, first string, line string, t string, posting_date date")
+    return fields.mapInPandas(read, "k string, source string, work string, level string, city string, first string, line string, t string, said string, named boolean, posting_date date")
 
 
 def _votes() -> list[Column]:
@@ -201,10 +240,10 @@ def _votes() -> list[Column]:
     # Two typists may each err once: two edits apart are one name, up to four say nothing.
     employer = F.when(known & (apart >= 0) & (apart <= 2) & one_line, 1).when(known & (apart > 2) & one_line, 0).when(known, -1).otherwise(0)
     # A veiled employer whose text names the other one, or names someone else.
-    text_of = F.when(a("first").isNull(), a("t")).when(b("first").isNull(), b("t"))
+    said, named_any = F.coalesce(F.when(a("first").isNull(), a("said")), b("said")), F.coalesce(F.when(a("first").isNull(), a("named")), b("named"))
     other = F.coalesce(a("first"), b("first"))
-    named = F.contains(F.concat(F.lit(" "), text_of, F.lit(" ")), F.concat(F.lit(" "), other, F.lit(" ")))
-    mention = F.when(named, 1).when(~known & other.isNotNull() & (F.length(text_of) >= 60) & ~text_of.rlike(r"^(?:our|a|the) (?:client|customer|leading|company)"), -1).otherwise(0)
+    named = F.contains(F.concat(F.lit(" "), said, F.lit(" ")), F.concat(F.lit(" "), other, F.lit(" ")))
+    mention = F.when(known, 0).when(named, 1).when(other.isNotNull() & named_any, -1).otherwise(0)
     level = F.when(a("level") == b("level"), 1).otherwise(-1)
     place = F.when(a("city").isNotNull() & b("city").isNotNull(), F.when(a("city") == b("city"), 1).otherwise(-1)).otherwise(0)
     # The middle of the shorter text, whose ends may be cut, stands in the longer one or not.
@@ -212,7 +251,7 @@ def _votes() -> list[Column]:
     middle = F.regexp_extract(short, r"^\S+ (.*) \S+$", 1)
     text = F.when(F.length(middle) >= 25, F.when(F.contains(long, middle), 1).otherwise(-1)).otherwise(0)
     gap = F.abs(F.datediff(a("day"), b("day")))
-    date = F.when(gap <= 10, 1).when(gap > 30, -1).otherwise(0)
+    date = F.when(gap <= 7, 1).when(gap > 14, -1).otherwise(0)
     return [F.coalesce(v, F.lit(0)).cast("int").alias(n) for n, v in zip(FUNCTIONS, (employer, mention, level, place, text, date))]
 
 
@@ -231,12 +270,13 @@ def link(listings: DataFrame, mapping: DataFrame, aliases: DataFrame, accept: fl
     rows = rows.withColumn("own", F.when(F.col("first").isNull(), F.struct("t", "posting_date")))
     keys = ["work", "level", "city", "first", "line", "own"]
     rows = rows.withColumn("c", F.xxhash64(*[F.coalesce(F.col(x), F.lit("\0")) for x in [*keys[:-1], "own.t"]], F.coalesce(F.col("own.posting_date").cast("string"), F.lit("\0"))))
-    classes = rows.groupBy("c", *keys).agg(F.max_by("t", F.length(F.coalesce("t", F.lit("")))).alias("t"), F.min("posting_date").alias("day"), F.countDistinct("source").alias("sources"))
+    classes = rows.groupBy("c", *keys).agg(F.max_by("t", F.length(F.coalesce("t", F.lit("")))).alias("t"), F.max("said").alias("said"), F.max("named").alias("named"), F.min("posting_date").alias("day"), F.countDistinct("source").alias("sources"))
     classes = cut_table(classes.drop("own"), "classes")
     place = classes.where("city is not null").withColumn("block", F.xxhash64(F.lit("place"), "work", "city"))
     named = classes.where("first is not null").withColumn("block", F.xxhash64(F.lit("name"), "work", "first"))
     veiled = classes.where("first is null and t is not null")
-    asking = veiled.withColumn("block", F.explode(F.array_distinct(F.transform(F.split("t", " "), lambda w: F.xxhash64(F.lit("name"), F.col("work"), w)))))
+    # Each word of a veiled employer's text may be another's name, as names are compared: folded.
+    asking = veiled.withColumn("block", F.explode(F.array_distinct(F.transform(F.split("said", " "), lambda w: F.xxhash64(F.lit("name"), F.col("work"), w)))))
     middle = F.regexp_extract("t", r"^\S+ (.*) \S+$", 1)
 
     def candidates(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
@@ -264,7 +304,7 @@ def link(listings: DataFrame, mapping: DataFrame, aliases: DataFrame, accept: fl
     # with themselves teach nothing about the functions, they are only scored.
     counted = voted.groupBy(*FUNCTIONS).agg(F.count_if("apart").alias("n")).collect()
     patterns = {tuple(r[n] for n in FUNCTIONS): float(r["n"]) for r in counted}
-    model = LabelModel().fit({v: n for v, n in patterns.items() if n})
+    model = LabelModel(DEFINING).fit({v: n for v, n in patterns.items() if n})
     scored = [(*p, model.posterior(p)) for p in patterns]
     schema = ", ".join(f"{n} int" for n in FUNCTIONS) + ", confidence double"
     taken = voted.join(F.broadcast(listings.sparkSession.createDataFrame(scored, schema)), list(FUNCTIONS)).where(F.col("confidence") >= accept).select("x", "y", "confidence")

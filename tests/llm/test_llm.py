@@ -327,6 +327,15 @@ def test_label_model_learns_accuracies():
     assert right >= 0.99 * best and abs(model.prior - 0.4) < 0.1 and LabelModel().fit({}).posterior(()) == 0.5
 
 
+def test_kinds_of_non_matches():
+    """Other employers on the same level are no match, though most pairs of a block differ in level alone."""
+    counts = {(1, 1, 1): 500.0, (1, -1, -1): 1500.0, (1, 1, -1): 60.0, (-1, -1, -1): 60.0, (-1, 1, -1): 30.0, (0, 1, 1): 40.0}
+    one, kinds = LabelModel().fit(counts), LabelModel((0, 1)).fit(counts)
+    assert one.posterior((-1, 1, -1)) > kinds.posterior((-1, 1, -1)) and kinds.posterior((-1, 1, -1)) < 0.5
+    assert kinds.posterior((1, 1, 1)) > 0.95 and kinds.posterior((0, 1, 1)) > 0.9 and kinds.posterior((1, -1, -1)) < 0.05
+    assert LabelModel((0, 1)).fit({(1, 1, 1): 1000.0}).prior < 1
+
+
 def test_every_veiled_text_votes(spark):
     works = ["Welding Supervisor", "Fleet Buyer", "Payroll Planner", "Cloud Engineer", "Customs Auditor", "Solar Estimator", "Warehouse Trainer", "Lighting Designer"]
     rows, want, day = [], set(), {"Jajo": "2026-01-05", "Mabi": "2026-03-09", "Crew": "2026-05-20"}
