@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.similarity import jaccard, jaro_winkler
 
+#: Rows of a block that meet at once (a larger block is cut into chunks that all meet each other), and pairs a task lists.
+CHUNK_ROWS, TASK_PAIRS, MOST_TASKS = 4096, 4_000_000, 10_000
+
 
 def exact_groups(df: DataFrame, key: list[str], publisher: list[str], order: list[Column]) -> DataFrame:
     """Rank pairing: the n-th copy of one publisher meets the n-th of another, never its own."""
@@ -22,6 +27,50 @@ def blocked_pairs(df: DataFrame, key: str, block: list[str], carry: list[str]) -
     return side("a").join(side("b"), on).drop(*[f"_{c}" for c in block])
 
 
+def _chunked(df: DataFrame, key: str, block: list[str], chunk_rows: int) -> tuple[DataFrame, int]:
+    """Rows that can pair, with their chunk of the block and how many it has; the tasks that all pairs need.
+
+    A small table can have many pairs, so tasks follow the pairs (of the counted blocks), not the bytes.
+    """
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in [key, *block]))
+    sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"))
+    pairs = sizes.agg(F.sum(F.col("_rows").cast("double") * F.col("_rows") / 2)).first()[0] or 0.0
+    tasks = min(max(ceil(pairs / TASK_PAIRS), df.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+    rows = rows.join(sizes.select(*block, F.ceil(F.col("_rows") / chunk_rows).alias("_chunks")), block)
+    return rows.withColumn("_chunk", F.pmod(F.xxhash64(key), F.col("_chunks"))), tasks
+
+
+def _to_chunks(rows: DataFrame) -> DataFrame:
+    """The rows once for each chunk of their block (_with)."""
+    return rows.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).drop("_chunks", "_chunk")
+
+
+def _meet(a: DataFrame, b: DataFrame, block: list[str], tasks: int) -> DataFrame:
+    """Rows of ``a`` with those of ``b`` in the chunk of the block that they are for; AQE keeps a stated number of partitions."""
+    a = a.repartition(tasks, *block, "_with")
+    b = b.select(*[F.col(c).alias(f"_{c}") for c in block], F.col("_chunk").alias("_own"), *[c for c in b.columns if c not in {*block, "_chunk"}]).repartition(tasks, *[f"_{c}" for c in block], "_own")
+    on = [F.col(c) == F.col(f"_{c}") for c in block] + [F.col("_with") == F.col("_own")]
+    return a.join(b, on).drop(*block, *[f"_{c}" for c in block], "_with", "_own")
+
+
+def blocked_texts(df: DataFrame, key: str, block: list[str], text: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Pairs of a block's texts, <text>_a and <text>_b, with the keys that have them, <key>s_a and <key>s_b.
+
+    Texts that many rows share are compared once, not for every pair of rows; :func:`pair_keys` lists the rows' pairs.
+    """
+    rows, tasks = _chunked(df.select(key, *block, text), key, block, chunk_rows)
+    texts = rows.groupBy(*block, "_chunks", "_chunk", text).agg(F.collect_list(key).alias("_keys"))
+    side = lambda s: [*block, "_chunk", F.col(text).alias(f"{text}_{s}"), F.col("_keys").alias(f"{key}s_{s}")]
+    return _meet(_to_chunks(texts.select(*side("a"), "_chunks")), texts.select(*side("b")), block, tasks)
+
+
+def pair_keys(pairs: DataFrame, key: str) -> DataFrame:
+    """Pairs a < b of the keys that :func:`blocked_texts` gathered, as <key>_a and <key>_b, with the pairs' other columns."""
+    a = pairs.select(*[c for c in pairs.columns if c != f"{key}s_a"], F.explode(f"{key}s_a").alias(f"{key}_a"))
+    b = a.select(*[c for c in a.columns if c != f"{key}s_b"], F.explode(f"{key}s_b").alias(f"{key}_b"))
+    return b.where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+
+
 def score_pairs(pairs: DataFrame, text: str, floor: float = 50.0, with_jaro_winkler: bool = False) -> DataFrame:
     """Token Jaccard (and Jaro-Winkler) of the pairs' texts; pairs below the floor in both go."""
     out = pairs.withColumn("jaccard", jaccard(F.col(f"{text}_a"), F.col(f"{text}_b")))

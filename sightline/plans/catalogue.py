@@ -307,8 +307,8 @@ def place_containment_antijoin(spark: SparkSession, d: str) -> DataFrame:
 @query("""with p as (select p_partkey, p_name, p_brand, p_size from part), t as (select a.p_partkey ka, b.p_partkey kb, list_distinct(string_split(a.p_name, ' ')) x, list_distinct(string_split(b.p_name, ' ')) y from p a join p b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey)
 select ka as p_partkey_a, kb as p_partkey_b, round(100.0 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 1) as jaccard from t where round(100.0 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 1) >= 50""")
 def fuzzy_jaccard_candidates(spark: SparkSession, d: str) -> DataFrame:
-    pairs = matching.blocked_pairs(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"], ["p_name"])
-    return matching.score_pairs(pairs, "p_name").select("p_partkey_a", "p_partkey_b", "jaccard")
+    texts = matching.blocked_texts(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"], "p_name")
+    return matching.pair_keys(matching.score_pairs(texts, "p_name"), "p_partkey").select("p_partkey_a", "p_partkey_b", "jaccard")
 
 
 @query("select a.p_partkey as p_partkey_a, b.p_partkey as p_partkey_b, round(100 * jaro_winkler_similarity(a.p_name, b.p_name), 2) as score from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey")
