@@ -313,8 +313,11 @@ def fuzzy_jaccard_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select a.p_partkey as p_partkey_a, b.p_partkey as p_partkey_b, round(100 * jaro_winkler_similarity(a.p_name, b.p_name), 2) as score from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey")
 def fuzzy_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
-    pairs = matching.blocked_pairs(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"], ["p_name"])
-    return pairs.select("p_partkey_a", "p_partkey_b", F.round(100 * similarity.jaro_winkler(F.col("p_name_a"), F.col("p_name_b")), 2).alias("score"))
+    texts = matching.blocked_texts(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"], "p_name")
+    octets = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")  # noqa: E731  # the SQL compares bytes, and two empty names as unlike
+    score = F.when((F.col("p_name_a") == "") & (F.col("p_name_b") == ""), 0.0).otherwise(similarity.jaro_winkler(octets("p_name_a"), octets("p_name_b")))
+    scored = texts.withColumn("score", F.round(100 * score, 2))
+    return matching.pair_keys(scored, "p_partkey").select("p_partkey_a", "p_partkey_b", "score")
 
 
 @query("""with t as (select a.p_partkey ka, b.p_partkey kb, list_distinct(string_split(a.p_name, ' ')) x, list_distinct(string_split(b.p_name, ' ')) y from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey),

@@ -6,7 +6,7 @@ import pytest
 from sightline.operators import matching
 from sightline.plans import catalogue
 
-ROWS = [(i * 7 % 101, [None, "a b", "a b c", "b a", "", "d e f"][i % 6], [None, "x", "y"][i % 11 % 3], i % 2) for i in range(240)] + [(7, "a b", "x", 1), (7, "a b c", "y", 1), (None, "a b", "x", 1)]
+ROWS = [(i * 7 % 101, [None, "a b", "a b c", "b a", "", "é è"][i % 6], [None, "x", "y"][i % 11 % 3], i % 2) for i in range(240)] + [(7, "a b", "x", 1), (7, "a b c", "y", 1), (None, "a b", "x", 1)]
 
 
 def brute(text):
@@ -39,7 +39,8 @@ def test_texts_of_a_block_meet_once_and_their_keys_are_all_listed(spark, chunk_r
     assert chunk_rows != 4096 or texts.count() <= 4 * 6 * 6
 
 
-def test_fuzzy_jaccard_candidates_spreads_pairs_of_a_small_table(spark, part):
-    got = catalogue.fuzzy_jaccard_candidates(spark, part)
-    assert sorted(map(tuple, got.collect()), key=str) == by_sql(part, "fuzzy_jaccard_candidates")
+@pytest.mark.parametrize("name", ["fuzzy_jaccard_candidates", "fuzzy_jaro_winkler"])
+def test_pairs_of_a_small_table_are_many_tasks(spark, part, name):
+    got = catalogue.QUERIES[name](spark, part)
+    assert sorted(map(tuple, got.collect()), key=str) == by_sql(part, name)
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
