@@ -12,6 +12,8 @@ from sightline.functions.similarity import jaccard, jaro_winkler
 
 #: Rows of a block that meet at once (a larger block is cut into chunks that all meet each other), and pairs a task lists.
 CHUNK_ROWS, TASK_PAIRS, MOST_TASKS = 4096, 4_000_000, 10_000
+#: Rows of a chunk where every pair looks up the partners of its first side.
+VETO_ROWS = 512
 
 
 def exact_groups(df: DataFrame, key: list[str], publisher: list[str], order: list[Column]) -> DataFrame:
@@ -87,6 +89,25 @@ def veto_shared(pairs: DataFrame, key: str, members: DataFrame, member: str, att
     return pairs.join(shared.select(f"{key}_a", f"{key}_b").distinct(), [f"{key}_a", f"{key}_b"], "left_anti")
 
 
+def unshared_pairs(df: DataFrame, key: str, block: list[str], members: DataFrame, member: str, attribute: str, chunk_rows: int = VETO_ROWS) -> DataFrame:
+    """Pairs a < b within a block, as <key>_a and <key>_b, of which no attribute value belongs to both sides; nulls are no value.
+
+    Only pairs that share a value are gathered, as lists of at most a chunk beside their first side; the others are never
+    shuffled. Sharing doesn't depend on the block, so blocks of equal hashes add work and change nothing.
+    """
+    rows, tasks = _chunked(df.select(key, *block), key, block, chunk_rows)
+    rows = rows.withColumn("_hash", F.xxhash64(*block))
+    held = members.where(F.col(member).isNotNull() & F.col(attribute).isNotNull()).select(F.col(member).alias("_m"), F.col(attribute).alias("_v"))
+    held = held.join(rows.select("_hash", "_chunk", F.col(key).alias("_k")), F.col("_m") == F.col("_k")).select("_hash", "_v", "_k", "_chunk").repartition("_hash", "_v").distinct()
+    other = held.select(F.col("_hash").alias("_h"), F.col("_v").alias("_w"), F.col("_k").alias("_other"), F.col("_chunk").alias("_with"))
+    shared = held.join(other, (F.col("_hash") == F.col("_h")) & (F.col("_v") == F.col("_w")) & (F.col("_k") < F.col("_other")))
+    shared = shared.groupBy("_hash", F.col("_k").alias(key), "_with").agg(F.collect_set("_other").alias("_shared"))
+    a = _to_chunks(rows).join(shared, ["_hash", key, "_with"], "left").select(*block, "_with", F.col(key).alias(f"{key}_a"), "_shared")
+    pairs = _meet(a, rows.select(*block, "_chunk", F.col(key).alias(f"{key}_b")), block, tasks)
+    free = F.col("_shared").isNull() | ~F.array_contains("_shared", F.col(f"{key}_b"))
+    return pairs.where((F.col(f"{key}_a") < F.col(f"{key}_b")) & free).drop("_shared")
+
+
 def mutual_best(pairs: DataFrame, key: str, score: str, threshold: float | None, gap: str | None = None) -> DataFrame:
     """Pairs in which each is the other's best; no chains. A null threshold switches the tier off.
 

@@ -338,8 +338,7 @@ def exact_groups_rank_pairing(spark: SparkSession, d: str) -> DataFrame:
 @query("""with p as (select a.p_partkey ka, b.p_partkey kb from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey), s as (select distinct l_partkey k, l_suppkey v from lineitem)
 select ka as p_partkey_a, kb as p_partkey_b from p where not exists (select 1 from s x join s y on x.v = y.v where x.k = p.ka and y.k = p.kb)""")
 def shared_supplier_veto(spark: SparkSession, d: str) -> DataFrame:
-    pairs = matching.blocked_pairs(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"], [])
-    return matching.veto_shared(pairs, "p_partkey", table(spark, d, "lineitem").select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey").select("p_partkey_a", "p_partkey_b")
+    return matching.unshared_pairs(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"], table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
 
 
 # --- survivorship, aggregates ----------------------------------------------------------------

@@ -44,3 +44,14 @@ def test_pairs_of_a_small_table_are_many_tasks(spark, part, name):
     got = catalogue.QUERIES[name](spark, part)
     assert sorted(map(tuple, got.collect()), key=str) == by_sql(part, name)
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 7, 512])
+def test_pairs_without_a_shared_value_are_never_shuffled(spark, part, chunk_rows):
+    read = lambda t: spark.read.parquet(f"{part}/{t}.parquet")
+    got = matching.unshared_pairs(read("part"), "p_partkey", ["p_brand", "p_size"], read("lineitem"), "l_partkey", "l_suppkey", chunk_rows)
+    assert sorted(map(tuple, got.collect()), key=str) == by_sql(part, "shared_supplier_veto") != []
+
+
+def test_shared_supplier_veto_equals_its_sql_on_nulls_and_duplicates(spark, part):
+    assert sorted(map(tuple, catalogue.shared_supplier_veto(spark, part).collect()), key=str) == by_sql(part, "shared_supplier_veto")
