@@ -55,3 +55,9 @@ def test_pairs_without_a_shared_value_are_never_shuffled(spark, part, chunk_rows
 
 def test_shared_supplier_veto_equals_its_sql_on_nulls_and_duplicates(spark, part):
     assert sorted(map(tuple, catalogue.shared_supplier_veto(spark, part).collect()), key=str) == by_sql(part, "shared_supplier_veto")
+
+
+def test_mutual_best_merge_scores_texts_not_pairs_of_rows(spark, part):
+    got = catalogue.mutual_best_merge(spark, part)
+    assert sorted(map(tuple, got.collect()), key=str) == by_sql(part, "mutual_best_merge")
+    assert "p_partkeys_a" in got._jdf.queryExecution().toString()
