@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sightline.functions.similarity import jaccard, jaro_winkler
+from sightline.session import cut_table
 
 #: Rows of a block that meet at once (a larger block is cut into chunks that all meet each other), and pairs a task lists.
 CHUNK_ROWS, TASK_PAIRS, MOST_TASKS = 4096, 4_000_000, 10_000
@@ -117,12 +118,41 @@ def mutual_best(pairs: DataFrame, key: str, score: str, threshold: float | None,
     kept = pairs.where(F.lit(False)) if threshold is None else pairs.where(F.col(score) >= threshold)
     apart = F.lit(0) if gap is None else F.coalesce(F.col(gap), F.lit(1 << 30))
     side = lambda x, y: F.struct(F.col(f"{key}_{x}").alias("x"), F.col(f"{key}_{y}").alias("y"), F.col(score).alias("s"), apart.alias("g"))
-    sides = kept.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).select("e.*")
+    return _mutual(kept.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).select("e.*"), key, score)
+
+
+def _mutual(sides: DataFrame, key: str, score: str) -> DataFrame:
+    """Of the partners y that each x has, by score s and gap g, the pairs in which each is the other's best."""
     best = sides.groupBy("x").agg(F.min(F.struct((-F.col("s")).alias("n"), "g", "y")).alias("b")).select("x", F.col("b.y").alias("y"), (-F.col("b.n")).alias(score))
     back = best.select(F.col("x").alias("_y"), F.col("y").alias("_x"))
     return best.join(back, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).where("x < y").select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"), score)
 
 
+def _first_two(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Of each group the rows of the first two values in this order; each task keeps its own two before they are shuffled."""
+    return df.withColumn("_n", F.dense_rank().over(W.partitionBy(*by).orderBy(*order))).where("_n <= 2").drop("_n")
+
+
+def mutual_best_texts(df: DataFrame, key: str, block: list[str], text: str, threshold: float, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """:func:`mutual_best` of a block's rows by the Jaccard of their texts, without a list of the rows' pairs.
+
+    A row's best partner has one of the two smallest keys of its text, and is one of the two best that the row's own text
+    has: the second counts where the first is the row itself. So the work follows the pairs of texts and the rows.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(*block, text, key)
+    heads = cut_table(_first_two(rows, [*block, text], [F.asc(key)]).groupBy(*block, text).agg(F.collect_set(key).alias("_keys")), "heads")
+    texts, tasks = _chunked(heads, text, block, chunk_rows)
+    side = lambda s: [*block, "_chunk", F.col(text).alias(f"{text}_{s}"), F.col("_keys").alias(f"{key}s_{s}")]
+    met = _meet(_to_chunks(texts.select(*side("a"), "_chunks", F.struct(*block).alias("_block"))), texts.select(*side("b")), block, tasks)
+    near = score_pairs(met.where(F.col(f"{text}_a") <= F.col(f"{text}_b")), text, threshold)
+    of = lambda x, y: F.struct(F.col(f"{text}_{x}").alias("_text"), F.col(f"{key}s_{y}").alias("_keys"))
+    near = near.select("_block", "jaccard", F.explode(F.array(of("a", "b"), of("b", "a"))).alias("e")).select("_block", "jaccard", "e._text", F.explode("e._keys").alias("y"))
+    near = near.groupBy("_block", "_text", "y").agg(F.max("jaccard").alias("s"))
+    near = _first_two(near, ["_block", "_text"], [F.desc("s"), F.asc("y")])
+    sides = rows.join(near, (F.struct(*block) == F.col("_block")) & (F.col(text) == F.col("_text"))).where(F.col(key) != F.col("y"))
+    return _mutual(sides.select(F.col(key).alias("x"), "y", "s", F.lit(0).alias("g")), key, "jaccard")
+
+
 def threshold_grid(scored: DataFrame, score: str, truth: str, grid: list[float]) -> DataFrame:
     """Precision and recall per threshold; one pass, the grid is a literal array."""
     steps = scored.select(F.explode(F.array(*map(F.lit, grid))).alias("threshold"), score, truth)

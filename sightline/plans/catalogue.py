@@ -324,7 +324,7 @@ def fuzzy_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
 s as (select ka, kb, round(100.0 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 1) j from t), e as (select ka x, kb y, j from s where j >= 50 union all select kb, ka, j from s where j >= 50), b as (select x, y, j from e qualify row_number() over (partition by x order by j desc, y) = 1)
 select b.x as p_partkey_a, b.y as p_partkey_b, b.j as jaccard from b join b c on b.x = c.y and b.y = c.x where b.x < b.y""")
 def mutual_best_merge(spark: SparkSession, d: str) -> DataFrame:
-    return matching.mutual_best(fuzzy_jaccard_candidates(spark, d), "p_partkey", "jaccard", 50.0)
+    return matching.mutual_best_texts(table(spark, d, "part"), "p_partkey", ["p_brand", "p_size"], "p_name", 50.0)
 
 
 @query("""with c as (select distinct source_record_sk, company_name, city_std, title_norm, publisher, source_name, posting_date from int_job_listings where company_name is not null and city_std is not null and title_norm is not null)

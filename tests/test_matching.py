@@ -61,3 +61,23 @@ def test_mutual_best_merge_scores_texts_not_pairs_of_rows(spark, part):
     got = catalogue.mutual_best_merge(spark, part)
     assert sorted(map(tuple, got.collect()), key=str) == by_sql(part, "mutual_best_merge")
     assert "p_partkeys_a" in got._jdf.queryExecution().toString()
+
+
+def most_rows(node):
+    """The most rows that a step of an executed plan gave."""
+    counted, name = node.metrics().get("numOutputRows"), node.nodeName()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
+    below = [node.children().apply(i) for i in range(node.children().size())]
+    return max([counted.get().value() if counted.isDefined() else 0, *map(most_rows, inner + below)])
+
+
+def test_mutual_best_merge_lists_no_pairs_of_rows(spark, part):
+    got = catalogue.mutual_best_merge(spark, part)
+    assert len(got.collect()) == len(by_sql(part, "mutual_best_merge"))
+    assert most_rows(got._jdf.queryExecution().executedPlan()) <= 2 * len(ROWS)
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 2, 4096])
+def test_best_partners_found_by_text_equal_the_sql_on_nulls_and_duplicates(spark, part, chunk_rows):
+    got = matching.mutual_best_texts(spark.read.parquet(f"{part}/part.parquet"), "p_partkey", ["p_brand", "p_size"], "p_name", 50.0, chunk_rows)
+    assert sorted(map(tuple, got.collect()), key=str) == by_sql(part, "mutual_best_merge") != []
