@@ -144,7 +144,7 @@ def mutual_best_texts(df: DataFrame, key: str, block: list[str], text: str, thre
     texts, tasks = _chunked(heads, text, block, chunk_rows)
     side = lambda s: [*block, "_chunk", F.col(text).alias(f"{text}_{s}"), F.col("_keys").alias(f"{key}s_{s}")]
     met = _meet(_to_chunks(texts.select(*side("a"), "_chunks", F.struct(*block).alias("_block"))), texts.select(*side("b")), block, tasks)
-    near = score_pairs(met.where(F.col(f"{text}_a") <= F.col(f"{text}_b")), text, threshold)
+    near = score_pairs(met.where(F.col(f"{text}_a") <= F.col(f"{text}_b")), text, threshold).coalesce(tasks)  # Spark may have joined in more partitions
     of = lambda x, y: F.struct(F.col(f"{text}_{x}").alias("_text"), F.col(f"{key}s_{y}").alias("_keys"))
     near = near.select("_block", "jaccard", F.explode(F.array(of("a", "b"), of("b", "a"))).alias("e")).select("_block", "jaccard", "e._text", F.explode("e._keys").alias("y"))
     near = near.groupBy("_block", "_text", "y").agg(F.max("jaccard").alias("s"))
